@@ -3,17 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reconweave.llm import minhash
+from reconweave.llm import decontaminate, langid, minhash, packing, substring
+from reconweave.llm.queries import WORD_BPE, tokenizer_path
 from reconweave.llm.scratch import Scratch
 
+#: A document goes if the language of most of its letters has a smaller part of them.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or with no language that half of the letters are in, go.
+
+    The decision is made for each text, and ids that repeat share it if their texts
+    are the same.
+    """
+    model = langid.train(docs.filter(~langid.held_out()))
+    good = langid.identify(docs, model, with_spans=False).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return docs.join(good.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, 0.8."""
-    return minhash.keep_one(docs, spark)
+    return minhash.keep_one(docs, spark).select(docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages stay in the first document that has them and are cut out of the others."""
+    return substring.without_repeats(docs, spark)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that stay, packed into sequences of 4096 tokens."""
+    return packing.pack_documents(docs, spark, tokenizer_path(WORD_BPE))
 
 
-STAGES = [("minhash_dedup", minhash_dedup)]
+STAGES = [
+    ("language_id", language_id),
+    ("minhash_dedup", minhash_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Language models, hash signatures and packing have no SQL form.
 ORACLE_SQL = None

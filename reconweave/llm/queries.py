@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reconweave.llm import minhash
+from reconweave.llm import decontaminate, html_mincut, kd_shards, langid, line_quality, minhash, packing, substring, token_counts, token_files
+
+#: File names of the public tokenizers; tokenizer_path() finds their place.
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +26,47 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), spark, shingle=4, percent=80)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.train(docs.filter(~langid.held_out())), with_spans=False)
+    return out.withColumn("held_out", langid.held_out())
+
+
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard(_table(spark, sf_dir, "documents"), spark, shards=8)
+
+
+def op4_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), spark, tokenizer_path(WORD_BPE))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), spark, tokenizer_path(BYTE_BPE))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), spark)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(_table(spark, sf_dir, "documents"), spark)
+
+
+def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.line_quality(_table(spark, sf_dir, "documents"), spark)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), spark, tokenizer_path(BYTE_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_dedup": op1_minhash_dedup,
+    f.__name__: f
+    for f in (op1_minhash_dedup, op2_language_id, op3_kd_shards, op4_html_mincut, op5_best_fit_packing, op6_token_counts, op7_decontamination, op8_substring_dedup, op9_line_quality, op10_token_files)
 }
 
 _OP1 = r"""
