@@ -1,0 +1 @@
+"""Reconciliation of books and portal statements on Spark."""
