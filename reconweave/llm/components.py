@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reconweave.llm.scratch import Scratch
@@ -32,10 +32,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int =
     """
     state, before = scratch.write(edges.select("u", "v").filter("u <> v").distinct(), f"{name}-0"), None
     for k in range(1, most_rounds + 1):
-        seen = Observation(f"{name}-{k}")
-        step = _small_star(_large_star(state))
-        state = scratch.write(step.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), f"{name}-{k}")
-        now = seen.get
+        state = scratch.write(_small_star(_large_star(state)), f"{name}-{k}")
+        now = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         scratch.drop(f"{name}-{k - 1}")
         if now == before or not now["n"]:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
