@@ -258,4 +258,10 @@ FROM (SELECT *, lower('pass ' || coalesce(difference_type, 'duplicate')) AS d FR
     "verify_criteria": f"""SELECT t.metric, m.value, t.threshold, CASE WHEN t.threshold IS NULL OR m.value IS NULL THEN 'NOT YET ASSESSABLE' WHEN m.value >= t.threshold THEN 'PASS' ELSE 'FAIL' END AS result
 FROM (VALUES ('recall Matched', 0.95), ('recall Not in Books', 0.5), ('recall Amount Difference', NULL)) t(metric, threshold) LEFT JOIN (SELECT 'recall ' || class AS metric, recall AS value FROM ({_PR}) p) m ON t.metric = m.metric""",
     "amount_proximity": f"""SELECT CAST(floor(greatest(0.0, 1 - CAST(abs(b_invoice_value - p_invoice_value) AS DOUBLE) / greatest(10.0, CAST(greatest(abs(b_invoice_value), abs(p_invoice_value)) AS DOUBLE) * CAST(0.01 AS DOUBLE))) * 10) AS INT) AS tenth, count(*) AS pairs FROM ({RUN}) r WHERE bid IS NOT NULL AND pid IS NOT NULL GROUP BY 1""",
+    "document_fields": f"""
+WITH t AS (SELECT bid, bid % 2 = 0 AS plain, gstin, invoice_number, strftime(invoice_date, '%d/%m/%Y') AS d, CAST(invoice_value AS VARCHAR) AS v FROM ({derive.BOOKS}) b WHERE bid % 7 = 1),
+f AS (SELECT 'gstin' AS field, 'auto' AS state, gstin AS value FROM t UNION ALL SELECT 'invoice_number', 'auto', invoice_number FROM t UNION ALL SELECT 'invoice_date', 'auto', d FROM t
+UNION ALL SELECT 'pan', 'not present', NULL FROM t UNION ALL SELECT 'total', 'review', v FROM t)
+SELECT field, state, count(*) AS documents, max(value) AS greatest FROM f GROUP BY ALL""",
+    "stream_event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, sum(CAST(value AS DECIMAL(18,4))) AS total FROM (SELECT DISTINCT ON (event_id) * FROM events) e GROUP BY ALL",
 }

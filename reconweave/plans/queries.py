@@ -12,8 +12,9 @@ from reconweave.functions import dates, keys
 from reconweave.functions.predicates import in_window, proximity, within
 from reconweave.operators import assign, blocking, classify, gst, guards, notes, other, rules, state, tds
 from reconweave.plans import analytics, verify
-from reconweave.sources import derive
+from reconweave.sources import derive, extract
 from reconweave.stages import Stages
+from reconweave.streaming import arrivals
 
 CONFIG = Config()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -513,3 +514,20 @@ def amount_proximity(spark: SparkSession, sf: str) -> DataFrame:
     both = _run(spark, sf).filter("bid is not null and pid is not null")
     tenth = F.floor(proximity(F.col("books.invoice_value"), F.col("portal.invoice_value"), CONFIG.gst.tolerance) * 10).cast("int")
     return both.groupBy(tenth.alias("tenth")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+# --- documents and streams ---------------------------------------------------
+
+
+@query
+def document_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled fields of rendered invoices by state."""
+    b = derive.books(spark, sf).filter("bid % 7 = 1")
+    text = F.concat(F.lit("GSTIN: "), "gstin", F.when(F.col("bid") % 2 == 0, " Invoice No: ").otherwise(" Bill No. "), F.col("invoice_number"), F.lit(" Date: "), F.date_format("invoice_date", "dd/MM/yyyy"), F.lit(" Total "), F.col("invoice_value").cast("string"))
+    out = extract.extract(b.withColumn("text", text), "bid", "text")
+    return out.groupBy("field", "state").agg(F.count(F.lit(1)).alias("documents"), F.max("value").alias("greatest"))
+
+
+@query
+def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return arrivals.replay(spark, sf)
