@@ -20,72 +20,92 @@ def tax_total(record: Column) -> Column:
     return sum((zero(record[h]) for h in HEADS[1:]), zero(record[HEADS[0]])).cast("decimal(18,2)")
 
 
-def split_differs(b: Column, p: Column, share: float) -> Column:
+_PARTS = (*HEADS, *BASES)
+
+
+def sides(pairs: DataFrame) -> DataFrame:
+    """pairs with every amount of both records as a plain column, and the tax sums.
+
+    Expressions name them instead of the record fields, which keeps plans small.
+    """
+    flat = pairs.withColumns({f"_{s[0]}_{k}": zero(F.col(s)[k]) for s in ("books", "portal") for k in _PARTS})
+    return flat.withColumns({f"_{s}_tax": sum((F.col(f"_{s}_{h}") for h in HEADS[1:]), F.col(f"_{s}_{HEADS[0]}")).cast("decimal(18,2)") for s in "bp"})
+
+
+def plain(pairs: DataFrame) -> DataFrame:
+    return pairs.drop(*(f"_{s}_{k}" for s in "bp" for k in (*_PARTS, "tax")))
+
+
+def _b(k: str) -> Column:
+    return F.col(f"_b_{k}")
+
+
+def _p(k: str) -> Column:
+    return F.col(f"_p_{k}")
+
+
+def split_differs(share: float) -> Column:
     """Whether some head's share of the tax differs by more than `share`."""
-    x, y = tax_total(b).cast("double"), tax_total(p).cast("double")
+    x, y = F.col("_x"), F.col("_y")
     out = F.lit(False)
     for h in HEADS:
-        out = out | (F.abs(zero(b[h]).cast("double") * y - zero(p[h]).cast("double") * x) > share * x * y)
+        out = out | (F.abs(_b(h).cast("double") * y - _p(h).cast("double") * x) > share * x * y)
     return (x > 0) & (y > 0) & out
 
 
-def issues(b: Column, p: Column, c: Gst) -> Column:
-    """The independent disagreements of a pair, in fixed order."""
-    t = c.tolerance
-    tv = within(zero(b["taxable_value"]), zero(p["taxable_value"]), t)
-    heads = F.lit(True)
+def compare(pairs: DataFrame, c: Gst) -> DataFrame:
+    """pairs (books, portal) with classification and difference_type: null, the one issue, or Unexplained."""
+    t, heads, rounding = c.tolerance, F.lit(True), F.lit(False)
     for h in HEADS:
-        heads = heads & within(zero(b[h]), zero(p[h]), t)
-    total = within(tax_total(b), tax_total(p), t)
-    rates = rates_differ(tax_total(b), zero(b["taxable_value"]), tax_total(p), zero(p["taxable_value"]), c.rate_gap)
-    return F.filter(
-        F.array(
-            F.when(~tv, "Taxable Value Difference"),
-            F.when(~total & rates & tv, "Tax Amount Difference"),
-            F.when(~heads & split_differs(b, p, c.share_gap), "Tax Split Mismatch"),
-            F.when(~b["document_type"].eqNullSafe(p["document_type"]), "Document Type Mismatch"),
-        ),
-        lambda x: x.isNotNull(),
-    )
-
-
-def difference_type(b: Column, p: Column, c: Gst) -> Column:
-    """Null for agreement; the one issue, or Unexplained for several."""
-    found = issues(b, p, c)
-    rates = rates_differ(tax_total(b), zero(b["taxable_value"]), tax_total(p), zero(p["taxable_value"]), c.rate_gap)
-    rounding = F.lit(False)
+        heads = heads & within(_b(h), _p(h), t)
     for h in (*HEADS, "taxable_value"):
-        rounding = rounding | (~within(zero(b[h]), zero(p[h]), c.tolerance) & is_rounding(zero(b[h]), zero(p[h]), c.tolerance))
-    return F.when(F.size(found) > 1, "Unexplained").when(F.size(found) == 1, found[0]).when(rates, "Rate Mismatch").when(rounding, "Rounding")
-
-
-def compare(pairs: DataFrame, c: Gst) -> DataFrame:
-    """pairs (books, portal) with classification and difference_type."""
-    out = pairs.withColumn("difference_type", difference_type(F.col("books"), F.col("portal"), c))
+        rounding = rounding | (~within(_b(h), _p(h), t) & is_rounding(_b(h), _p(h), t))
+    out = sides(pairs).withColumns({"_x": F.col("_b_tax").cast("double"), "_y": F.col("_p_tax").cast("double")})
+    out = out.withColumns(
+        {
+            "_tv": within(_b("taxable_value"), _p("taxable_value"), t),
+            "_total": within(F.col("_b_tax"), F.col("_p_tax"), t),
+            "_rates": rates_differ(F.col("_b_tax"), _b("taxable_value"), F.col("_p_tax"), _p("taxable_value"), c.rate_gap),
+            "_split": ~heads & split_differs(c.share_gap),
+            "_type": ~F.col("books.document_type").eqNullSafe(F.col("portal.document_type")),
+            "_rounding": rounding,
+        }
+    )
+    found = F.array(
+        F.when(~F.col("_tv"), "Taxable Value Difference"),
+        F.when(~F.col("_total") & F.col("_rates") & F.col("_tv"), "Tax Amount Difference"),
+        F.when(F.col("_split"), "Tax Split Mismatch"),
+        F.when(F.col("_type"), "Document Type Mismatch"),
+    )
+    out = out.withColumn("_issues", F.array_compact(found))
+    kind = F.when(F.size("_issues") > 1, "Unexplained").when(F.size("_issues") == 1, F.col("_issues")[0]).when(F.col("_rates"), "Rate Mismatch").when(F.col("_rounding"), "Rounding")
+    out = plain(out.withColumn("difference_type", kind)).drop("_x", "_y", "_tv", "_total", "_rates", "_split", "_type", "_rounding", "_issues")
     return out.withColumn("classification", F.when(F.col("difference_type").isNull(), "Matched").otherwise("Amount Difference"))
 
 
-def largest_basis(b: Column, p: Column) -> Column:
-    """The basis of the largest gap; the first one on ties."""
-    gaps = [gap(zero(b[k]), zero(p[k])) for k in BASES]
-    return F.when((gaps[0] >= gaps[1]) & (gaps[0] >= gaps[2]), BASES[0]).when(gaps[1] >= gaps[2], BASES[1]).otherwise(BASES[2])
-
-
 def value_at_risk(results: DataFrame) -> DataFrame:
-    """difference, itc_at_risk and gross_value of each result."""
-    b, p, cls, kind = F.col("books"), F.col("portal"), F.col("classification"), F.col("difference_type")
-    basis = F.when(kind.isin("Tax Amount Difference", "Tax Split Mismatch", "Rate Mismatch"), "total_tax").when(kind == "Taxable Value Difference", "taxable_value").otherwise(largest_basis(b, p))
+    """difference, itc_at_risk and gross_value of each result.
+
+    The difference is portal less books on the basis that the type names, else on
+    that of the largest gap, the first one on ties.
+    """
+    cls, kind = F.col("classification"), F.col("difference_type")
+    out = sides(results).withColumns({f"_g{i}": F.abs(_b(k) - _p(k)) for i, k in enumerate(BASES)})
+    largest = F.when((F.col("_g0") >= F.col("_g1")) & (F.col("_g0") >= F.col("_g2")), BASES[0]).when(F.col("_g1") >= F.col("_g2"), BASES[1]).otherwise(BASES[2])
+    basis = F.when(kind.isin("Tax Amount Difference", "Tax Split Mismatch", "Rate Mismatch"), "total_tax").when(kind == "Taxable Value Difference", "taxable_value").otherwise(largest)
+    out = out.withColumn("_basis", basis)
     signed = F.lit(None).cast("decimal(18,2)")
     for k in BASES:
-        signed = F.when(basis == k, zero(p[k]) - zero(b[k])).otherwise(signed)
+        signed = F.when(F.col("_basis") == k, _p(k) - _b(k)).otherwise(signed)
     nought = F.lit(0).cast("decimal(18,2)")
-    return results.withColumns(
+    out = out.withColumns(
         {
             "difference": F.when(cls == "Amount Difference", signed).otherwise(nought).cast("decimal(18,2)"),
-            "itc_at_risk": F.when(cls == "Not in Books", tax_total(p)).when(cls == "Not in Portal", tax_total(b)).when(cls == "Amount Difference", F.abs(tax_total(p) - tax_total(b))).otherwise(nought).cast("decimal(18,2)"),
-            "gross_value": F.when(cls == "Not in Books", zero(p["invoice_value"])).when(cls == "Not in Portal", zero(b["invoice_value"])).otherwise(nought).cast("decimal(18,2)"),
+            "itc_at_risk": F.when(cls == "Not in Books", F.col("_p_tax")).when(cls == "Not in Portal", F.col("_b_tax")).when(cls == "Amount Difference", F.abs(F.col("_p_tax") - F.col("_b_tax"))).otherwise(nought).cast("decimal(18,2)"),
+            "gross_value": F.when(cls == "Not in Books", _p("invoice_value")).when(cls == "Not in Portal", _b("invoice_value")).otherwise(nought).cast("decimal(18,2)"),
         }
     )
+    return plain(out).drop("_g0", "_g1", "_g2", "_basis")
 
 
 def cause(results: DataFrame, t: Tolerance, materiality: float, recon: str = "GST") -> DataFrame:

@@ -264,4 +264,34 @@ f AS (SELECT 'gstin' AS field, 'auto' AS state, gstin AS value FROM t UNION ALL
 UNION ALL SELECT 'pan', 'not present', NULL FROM t UNION ALL SELECT 'total', 'review', v FROM t)
 SELECT field, state, count(*) AS documents, max(value) AS greatest FROM f GROUP BY ALL""",
     "stream_event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, sum(CAST(value AS DECIMAL(18,4))) AS total FROM (SELECT DISTINCT ON (event_id) * FROM events) e GROUP BY ALL",
+    "result_reasons": f"""
+WITH r AS (SELECT *, regexp_replace(coalesce(b_invoice_number, p_invoice_number), '[0-9][0-9,./-]*', '#', 'g') AS n, abs(date_diff('day', b_invoice_date, p_invoice_date)) AS days FROM ({RUN}) q)
+SELECT classification, difference_type, regexp_replace(CASE classification WHEN 'Not in Books' THEN 'Invoice ' || n || ' is on the portal but not in the books'
+  WHEN 'Not in Portal' THEN 'Invoice ' || n || ' is in the books but not on the portal' || CASE WHEN difference_type = 'Duplicate in Books' THEN '; the books have its number more than once' ELSE '' END
+  ELSE 'Invoice ' || n || ': ' || CASE WHEN confidence_score >= 98 THEN 'GSTIN and invoice number agree' ELSE 'GSTIN and the numeric part of the number agree' END || '; ' ||
+    CASE WHEN classification = 'Matched' THEN 'taxable value and all tax heads agree'
+      WHEN difference_type = 'Taxable Value Difference' THEN difference_type || ' (taxable value: books ₹#, portal ₹#)'
+      WHEN difference_type IN ('Tax Amount Difference', 'Tax Split Mismatch', 'Rate Mismatch') THEN difference_type || ' (tax: books ₹#, portal ₹#)'
+      WHEN difference_type = 'Document Type Mismatch' THEN difference_type || ' (books ' || b_document_type || ', portal ' || p_document_type || ')'
+      ELSE difference_type || ' (invoice value: books ₹#, portal ₹#)' END ||
+    CASE WHEN difference_type = 'Unexplained' AND days <> 0 THEN '; dates differ by # days' ELSE '' END END || '.', '#, portal', '# portal') AS reason, count(*) AS results
+FROM r GROUP BY ALL""",
+    "review_narrative": f"""
+WITH k AS (SELECT count(*) AS n, count(*) FILTER (classification = 'Matched') AS m, CAST(sum(itc_at_risk) AS DECIMAL(18,2)) AS a FROM ({RUN}) r),
+t AS (SELECT *, split_part(CAST(a AS VARCHAR), '.', 1) AS w, split_part(CAST(a AS VARCHAR), '.', 2) AS c FROM k),
+h AS (SELECT *, CASE WHEN length(w) > 3 THEN left(w, length(w) - 3) ELSE '' END AS head FROM t)
+SELECT CAST(m AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) || ' documents (' || CAST(round(CAST(m AS DOUBLE) * 100 / n, 1) AS VARCHAR) || '%) agree; ₹' || CASE WHEN head = '' THEN '' ELSE reverse(rtrim(regexp_replace(reverse(head), '([0-9]{{2}})', '\\1,', 'g'), ',')) || ',' END || right(w, 3) || '.' || c
+  || ' of tax is at stake in ' || CAST(n - m AS VARCHAR) || ' open ones.' AS text FROM h""",
+    "narrative_check": """SELECT 'region ' || CAST(r_regionkey AS VARCHAR) || ' has 1,234.50 and 24 of 25' AS text, x AS raw FROM region CROSS JOIN (VALUES ('1,234.50', 1234.5), ('24', 24), ('25', 25)) v(x, y) WHERE y NOT IN (SELECT n_nationkey FROM nation)
+UNION ALL SELECT 'region ' || CAST(r_regionkey AS VARCHAR) || ' has 1,234.50 and 24 of 25', CAST(r_regionkey AS VARCHAR) FROM region WHERE r_regionkey NOT IN (SELECT n_nationkey FROM nation)""",
+    "slot_detection": """
+WITH f AS (SELECT p_partkey AS file, CASE p_partkey % 6 WHEN 0 THEN 'purchase register tally csv' WHEN 1 THEN 'gstr2b aug xlsx' WHEN 2 THEN 'form26as csv' WHEN 3 THEN 'bank statement csv' WHEN 4 THEN 'misc csv' ELSE 'ledger loan csv' END AS n,
+  CASE p_partkey % 4 WHEN 0 THEN 'gstin | voucher no' WHEN 1 THEN 'utr | withdrawal' WHEN 2 THEN 'itc availability | gstin' ELSE 'a | b' END AS h FROM part),
+t(slot, token, w) AS (VALUES ('tally', 'tally', 2), ('tally', 'purchase register', 2), ('tally', 'voucher', 1), ('gstr2b', 'gstr2b', 2), ('gstr2b', '2b', 1), ('gstr2b', 'itc availability', 2), ('ims', 'ims', 2), ('ims', 'ims action', 2),
+  ('form26as', '26as', 2), ('form26as', 'form 26as', 2), ('tds', 'tds', 2), ('tds', 'challan', 1), ('tds', 'deductee', 2), ('bank', 'bank', 2), ('bank', 'withdrawal', 2), ('bank', 'utr', 1),
+  ('vendor_ledger', 'ledger', 2), ('opening_balances', 'opening', 2), ('loan_sheet', 'loan', 2), ('salary', 'salary', 2), ('credit_notes', 'credit note', 2)),
+s AS (SELECT file, slot, sum(CASE WHEN contains(n, token) THEN 3 * w ELSE 0 END + CASE WHEN contains(h, token) THEN w ELSE 0 END) AS points FROM f CROSS JOIN t GROUP BY file, slot),
+m AS (SELECT *, max(points) OVER (PARTITION BY file) AS top FROM s)
+SELECT file, CASE WHEN count(*) = 1 AND max(top) > 0 THEN min(slot) END AS slot, CAST(max(top) AS BIGINT) AS points FROM m WHERE points = top GROUP BY file""",
+    "declarative_sheet": f"SELECT gstin, count(*) AS rows, sum(taxable_value) AS taxable, sum(cgst + sgst) AS state_tax, 0 AS cess, strftime(min(invoice_date), '%Y-%m-%d') AS first_date FROM ({derive.BOOKS}) b WHERE bid % 9 <> 1 GROUP BY gstin",
 }

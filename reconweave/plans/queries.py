@@ -11,8 +11,8 @@ from reconweave.config import Config
 from reconweave.functions import dates, keys
 from reconweave.functions.predicates import in_window, proximity, within
 from reconweave.operators import assign, blocking, classify, gst, guards, notes, other, rules, state, tds
-from reconweave.plans import analytics, verify
-from reconweave.sources import derive, extract
+from reconweave.plans import analytics, reasons, verify
+from reconweave.sources import declarative, derive, detect, extract
 from reconweave.stages import Stages
 from reconweave.streaming import arrivals
 
@@ -531,3 +531,50 @@ def document_fields(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return arrivals.replay(spark, sf)
+
+
+@query
+def result_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """The kinds of reasons that results get, numbers shown as #."""
+    run = _run(spark, sf).withColumn("pass_name", F.when(F.col("confidence_score") >= 98, "exact").otherwise("variant"))
+    text = F.regexp_replace(reasons.reason(CONFIG.gst), "[0-9][0-9,./-]*", "#")
+    return run.groupBy("classification", "difference_type", text.alias("reason")).agg(F.count(F.lit(1)).alias("results"))
+
+
+@query
+def review_narrative(spark: SparkSession, sf: str) -> DataFrame:
+    return reasons.narrative(analytics.kpis(_run(spark, sf)))
+
+
+@query
+def narrative_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers of two texts that no aggregate backs."""
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("decimal(18,2)").alias("number"))
+    texts = spark.read.parquet(f"{sf}/region.parquet").select(F.concat(F.lit("region "), F.col("r_regionkey").cast("string"), F.lit(" has 1,234.50 and 24 of 25")).alias("text"))
+    return reasons.unknown_numbers(texts, n).select("text", "raw")
+
+
+@query
+def slot_detection(spark: SparkSession, sf: str) -> DataFrame:
+    """Files by name and header tokens, one for each part."""
+    pick = lambda items, m: F.element_at(F.array(*(F.lit(x) for x in items)), (F.col("p_partkey") % m + 1).cast("int"))
+    names = pick(("purchase_register_tally.csv", "GSTR2B_aug.xlsx", "form26as.csv", "bank_statement.csv", "misc.csv", "ledger loan.csv"), 6)
+    heads = F.split(pick(("gstin;voucher no", "utr;withdrawal", "itc availability;gstin", "a;b"), 4), ";")
+    files = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("file"), names.alias("name"), heads.alias("headers"))
+    return detect.slots(files)
+
+
+@query
+def column_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    """Best headers of each canonical field by name similarity, for the orders table."""
+    return detect.column_candidates(spark, spark.read.parquet(f"{sf}/orders.parquet").columns + ["Supplier GSTIN", "Bill No", "Taxable Value"])
+
+
+@query
+def declarative_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    """Books written as text, parsed back by rules, by supplier."""
+    b = derive.books(spark, sf)
+    raw = b.select(F.col("gstin").alias("GSTIN/UIN"), F.when(F.col("bid") % 9 == 1, "").otherwise(F.col("invoice_number")).alias("Bill No"), F.date_format("invoice_date", "dd-MM-yyyy").alias("Date"), F.concat(F.lit("₹ "), F.format_number("taxable_value", 2)).alias("Taxable"), F.col("cgst").cast("string").alias("CGST"), F.col("sgst").cast("string").alias("SGST"))
+    rule = declarative.Rule
+    sheet = declarative.Sheet({"gstin": rule("direct", ("GSTIN/UIN",), "upper"), "number": rule("direct", ("Bill No",)), "date": rule("direct", ("Date",), "date"), "taxable": rule("direct", ("Taxable",), "money"), "state_tax": rule("aggregate", ("CGST", "SGST")), "cess": rule("unavailable")}, identity=("number",))
+    return declarative.parse(raw, sheet).groupBy("gstin").agg(F.count(F.lit(1)).alias("rows"), F.sum("taxable").alias("taxable"), F.sum("state_tax").alias("state_tax"), F.count("cess").alias("cess"), F.date_format(F.min("date"), "yyyy-MM-dd").alias("first_date"))
