@@ -171,6 +171,23 @@ def match(books: DataFrame, portal: DataFrame, c: Gst, stages: Stages, adjacent:
     return out.select(names).unionByName(only_b.select(names)).unionByName(only_p.select(names))
 
 
+def match_pools(books: DataFrame, portal: DataFrame, c: Gst, stages: Stages) -> DataFrame:
+    """match() of each pool of portal documents in turn, with the pool of every result.
+
+    Notes and ISD rows match no invoice.  A books row that one pool matched is gone
+    for the next; unmatched books rows are emitted once, with the last pool.
+    """
+    b = stages(books.filter(~books_type(F.col("invoice_number"), F.col("invoice_value")).isin(*NOTE_TYPES)))
+    p = stages(portal.withColumn("_pool", pool(F.col("document_type"))))
+    out, order = None, ("regular", "reverse_charge", "import")
+    for name in order:
+        got = stages(match(b, p.filter(F.col("_pool") == name).drop("_pool"), c, stages).withColumn("pool", F.lit(name)))
+        b = b.join(got.filter("bid is not null and pid is not null").select("bid"), "bid", "left_anti")
+        got = got if name == order[-1] else got.filter("pid is not null")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def _cross_period(rest: DataFrame, adjacent: DataFrame, c: Gst, stages: Stages, same: Column, amounts: Column, near: Column) -> DataFrame:
     """Leftover books rows against the next or previous period's portal rows."""
     q = stages(sided(keyed(adjacent, c), "p_", "pid").withColumn("p_unique", F.lit(None).cast("boolean")))

@@ -65,6 +65,35 @@ def match(books: DataFrame, portal: DataFrame, c: Notes, t: Tolerance, stages: S
     return out.unionByName(only_b.select(names)).unionByName(only_p.select(names))
 
 
+def match_with_adjacent(books: DataFrame, portal: DataFrame, adjacent: DataFrame, c: Notes, t: Tolerance, stages: Stages) -> DataFrame:
+    """match(), then the notes left over against an adjacent period's portal notes.
+
+    Those pairs have the cross-period penalty and cross_period; adjacent notes that
+    stay unmatched are not emitted.
+    """
+    own = stages(match(books, portal, c, t, stages).withColumn("cross_period", F.lit(False)))
+    rest = books.join(own.filter("pid is null").select(F.col("bid").alias("nid")), "nid", "left_semi")
+    late = match(rest, adjacent, c, t, stages).filter("bid is not null and pid is not null")
+    points = score(F.col("confidence_score") + c.cross_period_penalty)
+    late = stages(late.withColumns({"confidence_score": points, "confidence_band": F.when(F.col("confidence_band") == "Low", "Low").otherwise(band(points, 92, 65)), "cross_period": F.lit(True)}))
+    return own.join(late.select("bid"), "bid", "left_anti").unionByName(late)
+
+
+def near_misses(books: DataFrame, portal: DataFrame, c: Notes, t: Tolerance) -> DataFrame:
+    """Pairs of equal reference that are no match, with what forbids each: bid, pid, why."""
+    b = books.select(F.col("nid").alias("bid"), "note_key", *(F.col(k).alias(f"b_{k}") for k in ("gstin", "note_date", "invoice_value")))
+    p = portal.select(F.col("nid").alias("pid"), "note_key", *(F.col(k).alias(f"p_{k}") for k in ("gstin", "note_date", "invoice_value")))
+    both = has_gstin(F.col("b_gstin")) & has_gstin(F.col("p_gstin"))
+    why = F.array_compact(
+        F.array(
+            F.when(~gstins_agree(F.col("b_gstin"), F.col("p_gstin")), "gstin"),
+            F.when(~in_window(F.col("b_note_date"), F.col("p_note_date"), c.guard_days), "date"),
+            F.when(~both & ~within(F.col("b_invoice_value"), F.col("p_invoice_value"), t), "value"),
+        )
+    )
+    return b.join(p, "note_key").select("bid", "pid", why.alias("why")).filter(F.size("why") > 0)
+
+
 def summary(notes: DataFrame) -> DataFrame:
     """Count, tax and value for each kind and key state of prepared notes."""
     state = F.when(F.col("note_key").isNull(), "no reference").otherwise("referenced")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reconweave.config import Config, Tolerance
-from reconweave.operators import blocking, gst, tds
+from reconweave.operators import blocking, gst, notes, tds
 from reconweave.operators.assign import ambiguous, serial
 from reconweave.plans import verify
 from reconweave.sources import derive
@@ -98,3 +98,30 @@ def test_alignment_keeps_both_sides(spark):
     got = verify.align(e, b, Config().gst.tolerance, Stages(spark, "t")).collect()
     assert sorted(r["eid"] for r in got if r["eid"] is not None) == list(range(8))
     assert {r["eid"]: r["tier"] for r in got}[3] == 2 and {r["eid"]: r["lid"] for r in got}[2] is None
+
+
+def test_notes_of_an_adjacent_period_and_near_misses(spark):
+    from decimal import Decimal
+
+    schema = "nid long, gstin string, note_type string, voucher_number string, narration string, note_date date, taxable_value decimal(18,2), total_tax decimal(18,2), invoice_value decimal(18,2)"
+    g, h = "27ABCDE0001F1Z1", "27ABCDE0002F1Z2"
+    row = lambda i, gstin, text, day, value: (i, gstin, None, None, text, day, Decimal(value), Decimal(0), Decimal(value))
+    b = notes.prepare(spark.createDataFrame([row(1, g, "Credit Note No CD-1", D(2026, 1, 5), 100), row(2, g, "Credit Note No CD-2", D(2026, 1, 5), 200), row(3, g, "Credit Note No CD-3", D(2026, 1, 5), 300), row(4, "", "being a return", D(2026, 1, 6), 70)], schema))
+    p = notes.prepare(spark.createDataFrame([row(11, g, "Credit Note No CD-1", D(2026, 1, 9), 100), row(13, h, "Credit Note No CD-3", D(2026, 1, 5), 300)], schema))
+    q = notes.prepare(spark.createDataFrame([row(22, g, "Credit Note No CD-2", D(2025, 12, 9), 200)], schema))
+    c = Config()
+    got = {(r["bid"], r["pid"]): r for r in notes.match_with_adjacent(b, p, q, c.notes, c.gst.tolerance, Stages(spark, "t")).collect()}
+    assert set(got) == {(1, 11), (2, 22), (3, None), (4, None), (None, 13)}
+    assert got[1, 11]["confidence_score"] == 98.0 and got[2, 22]["confidence_score"] == 86.0 and got[2, 22]["cross_period"]
+    assert [(r["bid"], r["pid"], r["why"]) for r in notes.near_misses(b, p, c.notes, c.gst.tolerance).collect()] == [(3, 13, ["gstin"])]
+
+
+def test_pools_use_up_books_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    b = derive.books(spark, sf).limit(120)
+    p = derive.portal(spark, sf).join(b.select("gstin").distinct(), "gstin", "left_semi").limit(150)
+    p = p.withColumn("document_type", F.element_at(F.array(*(F.lit(x) for x in ("Invoice", "Reverse Charge", "Import", "ISD", "Credit Note"))), (F.col("pid") % 5 + 1).cast("int")))
+    got = gst.match_pools(b, p, Config().gst, Stages(spark, "t")).collect()
+    bids = [r["bid"] for r in got if r["bid"] is not None]
+    assert sorted(bids) == sorted(set(bids)) and len(bids) == b.count()
+    assert sum(r["pid"] is not None for r in got) == p.filter("document_type in ('Invoice', 'Reverse Charge', 'Import')").count()
