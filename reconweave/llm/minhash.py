@@ -221,15 +221,16 @@ def in_blocks(rows: DataFrame, key: str, sizes: DataFrame, member: str, *, shuff
     return out.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q", member)
 
 
-def near_duplicates(docs: DataFrame, spark: SparkSession, *, shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, spark: SparkSession, *, shingle: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     docs: doc_id (integer, not null) and text; other columns are ignored.  Null,
     empty and blank texts have no shingles, are linked with nothing and are kept.
     Equal texts are linked.  Rows that repeat a doc_id with other text each follow
-    their own text.  An empty table gives an empty result.
+    their own text.  An empty table gives an empty result.  The result reads tables
+    of the scratch folder, which whoever gives one may clear afterwards.
     """
-    s = Scratch(spark, "minhash")
+    s = scratch or Scratch(spark, "minhash")
     floor = agreement_floor(percent / 100)
     schema = "doc_id long, n long, d1 long, d2 long, sig binary, bands array<long>"
     f = s.write(docs.select("doc_id", "text").mapInArrow(_features(shingle), schema), "features")
@@ -269,5 +270,8 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, *, shingle: int = 5, p
 
 def keep_one(docs: DataFrame, spark: SparkSession, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the least of its near-duplicate group."""
-    kept = near_duplicates(docs, spark, shingle=shingle, percent=percent).filter("kept").select("doc_id").distinct()
+    s = Scratch(spark, "minhash")
+    kept = near_duplicates(docs, spark, shingle=shingle, percent=percent, scratch=s).filter("kept").select("doc_id").distinct()
+    kept = Scratch(spark, "kept").write(kept, "ids")
+    s.clear()
     return docs.join(kept, "doc_id", "left_semi")

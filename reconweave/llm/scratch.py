@@ -32,7 +32,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.path(name))
+
+    def clear(self) -> None:
+        """Drops all tables, when nothing reads them any more."""
+        self._delete(self.root)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
