@@ -8,7 +8,8 @@ words around them alone, so a passage has the same paragraphs wherever it stands
 2. Each class has BANDS bands of one minimum over its five-word shingles; tuned by
    bands_for() so that a pair at the threshold is met with a chance of RECALL.
 3. In a bucket the members meet the least one, and are confirmed by the exact
-   Jaccard similarity of their shingles.
+   Jaccard similarity of their shingles.  In buckets where this leaves more than
+   one group, members of different groups meet as well, in blocks.
 4. Components of the confirmed links join classes.  The first paragraph of a
    component (least doc_id, then place) stays; those of other documents go.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconweave.llm.components import components
-from reconweave.llm.minhash import _A, _B
+from reconweave.llm.minhash import _A, _B, Merged, groups, in_blocks, similar
 from reconweave.llm.scratch import Scratch
 from reconweave.llm.words import _SHINGLE, buffers, counts_in, mix, slices, span_hashes, spans, texts, word_sets
 
@@ -120,6 +121,39 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(keep))
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between members of a bucket that the star left in different groups."""
+    u, v = [], []
+    held, rows = [], 0
+
+    def flush() -> None:
+        nonlocal held, rows
+        if not held:
+            return
+        values, at = word_sets(texts(pa.concat_tables(held).column("text")), SHINGLE)
+        base = 0
+        for g in held:
+            node, merged = g.column("hash").to_numpy(), Merged(g.column("label").to_numpy())
+            for i in range(g.num_rows - 1):
+                rest = i + 1 + np.flatnonzero(merged.label[i + 1 :] != merged.label[i])
+                if len(rest):
+                    for j in rest[similar(values, at, base + i, base + rest, PERCENT)]:
+                        if merged.label[j] != merged.label[i]:
+                            merged.join(i, j)
+                            u.append(node[i])
+                            v.append(node[j])
+            base += g.num_rows
+        held, rows = [], 0
+
+    for t in groups(batches, ["bucket", "p", "q"]):
+        if rows + t.num_rows > 2048:
+            flush()
+        held.append(t.select(["hash", "label", "text"]))
+        rows += t.num_rows
+    flush()
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def repeats(docs: DataFrame, spark: SparkSession, scratch: Scratch | None = None) -> DataFrame:
     """One row for each repeated paragraph that goes: doc_id, word, n_words, first_doc_id, component_id.
 
@@ -132,15 +166,23 @@ def repeats(docs: DataFrame, spark: SparkSession, scratch: Scratch | None = None
     made = docs.select("doc_id", "text").mapInArrow(_features, "doc_id long, word long, n_words long, hash long, bands array<long>, text string")
     f = s.write(made, "paragraphs")
     classes = f.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
-    bands = f.select("hash", F.explode("bands").alias("bucket"))
+    bands = f.select("hash", F.explode("bands").alias("bucket")).repartition("bucket")
     shared = bands.groupBy("bucket").agg(F.min("hash").alias("u"), F.max("hash").alias("w")).filter("u <> w").drop("w")
-    pairs = s.write(bands.join(shared, "bucket").filter("hash <> u").select("u", F.col("hash").alias("v")).distinct(), "pairs")
-    needed = pairs.select(F.col("u").alias("hash")).unionByName(pairs.select(F.col("v").alias("hash"))).distinct()
+    members = s.write(bands.join(shared, "bucket").select("bucket", "hash", "u").distinct(), "members")
+    pairs = s.write(members.filter("hash <> u").select("u", F.col("hash").alias("v")).distinct(), "pairs")
+    needed = members.select("hash").distinct()
     wanted = s.write(f.select("hash", "text").join(needed, "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text")), "wanted")
     both = pairs.join(wanted.select(F.col("hash").alias("u"), F.col("text").alias("text_a")), "u").join(wanted.select(F.col("hash").alias("v"), F.col("text").alias("text_b")), "v")
-    links = both.select("u", "v", "text_a", "text_b").mapInArrow(_exact, "u long, v long")
-    joined = s.write(components(links, s, "links").select(F.col("node").alias("hash"), "component"), "joined")
-    s.drop("wanted", "pairs")
+    star = s.write(both.select("u", "v", "text_a", "text_b").mapInArrow(_exact, "u long, v long"), "star")
+    label = star.groupBy(F.col("v").alias("hash")).agg(F.min("u").alias("up"))
+    labelled = members.join(label, "hash", "left").select("bucket", "hash", F.coalesce("up", "hash").alias("label"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n_members"))
+    rest = s.write(labelled.join(mixed.filter("lo <> hi and n_members > 2").drop("lo", "hi"), "bucket"), "rest")
+    sizes = rest.select("bucket", "n_members").distinct()
+    met = in_blocks(rest.drop("n_members").join(wanted, "hash"), "bucket", sizes, "hash")
+    met = met.select("bucket", "p", "q", "hash", "label", "text").mapInArrow(_meet, "u long, v long")
+    joined = s.write(components(star.unionByName(met), s, "links").select(F.col("node").alias("hash"), "component"), "joined")
+    s.drop("members", "pairs", "wanted", "star", "rest")
     of = classes.join(joined, "hash", "left").select("hash", "doc_id", "last", F.coalesce("component", "hash").alias("component_id"))
     of = s.write(of, "classes")
     many = of.groupBy("component_id").agg(F.min("doc_id").alias("first_doc_id"), F.max("last").alias("last_doc_id")).filter("first_doc_id <> last_doc_id")
