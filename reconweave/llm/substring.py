@@ -1,8 +1,9 @@
 """Passages that documents share: paragraph MinHash, exact check, components.
 
-Paragraphs are cut inside lines of at least LINE_WORDS words, where the hash of a
-word pair is the least within REACH words on either side.  Such cuts depend on the
-words around them alone, so a passage has the same paragraphs wherever it stands.
+Paragraphs run over line ends and are cut where the hash of a word pair is the
+least within REACH words on either side, unless the next cut is less than
+LEAST_WORDS on.  Such cuts depend on the words around them alone, so a passage has
+the same paragraphs wherever it stands, in one line or in many.
 
 1. Equal paragraphs form a class, known by a 128-bit hash of its lower-cased words.
 2. Each class has BANDS bands of one minimum over its five-word shingles; tuned by
@@ -12,6 +13,8 @@ words around them alone, so a passage has the same paragraphs wherever it stands
    one group, members of different groups meet as well, in blocks.
 4. Components of the confirmed links join classes.  The first paragraph of a
    component (least doc_id, then place) stays; those of other documents go.
+5. At either end of a run that goes, it grows over the words that equal those
+   beside the paragraph that stays.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reconweave.llm.components import components
@@ -30,7 +33,9 @@ from reconweave.llm.scratch import Scratch
 from reconweave.llm.words import _SHINGLE, buffers, counts_in, mix, slices, span_hashes, spans, texts, word_sets
 
 SHINGLE, PERCENT, RECALL = 5, 80, 0.995
-LINE_WORDS, REACH, LEAST_WORDS = 30, 6, 10
+REACH, LEAST_WORDS = 6, 10
+#: Words compared in the first round of growing; each later one has eight times as many.
+BESIDE = 64
 
 
 def bands_for(threshold: float, recall: float, rows: int = 1) -> int:
@@ -48,12 +53,8 @@ def paragraphs(column: pa.StringArray) -> tuple[np.ndarray, ...]:
     words, at = span_hashes(data, starts, ends), counts_in(offsets, starts)
     if not len(words):
         return words, at, np.zeros(0, np.int64), np.zeros(0, np.int64), starts, ends
-    breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
     new = np.zeros(len(words) + 1, bool)
-    new[1:-1] = breaks[starts[1:]] != breaks[starts[:-1]]
     new[at] = True
-    line = np.cumsum(new[:-1]) - 1
-    size = np.bincount(line)
     pair = np.zeros(len(words), np.uint64)
     pair[1:] = mix(words[:-1] * _SHINGLE[7] + words[1:] * _SHINGLE[8])
     padded = np.concatenate([np.full(REACH, 2**64 - 1, np.uint64), pair, np.full(REACH, 2**64 - 1, np.uint64)])
@@ -64,8 +65,9 @@ def paragraphs(column: pa.StringArray) -> tuple[np.ndarray, ...]:
     cut = new.copy()
     cut[:-1] |= pair < least
     first = np.flatnonzero(cut[:-1])
+    first = first[new[first] | (np.diff(np.append(first, len(words))) >= LEAST_WORDS)]
     end = np.append(first[1:], len(words))
-    keep = (size[line[first]] >= LINE_WORDS) & (end - first >= LEAST_WORDS)
+    keep = end - first >= LEAST_WORDS
     return words, at, first[keep], end[keep], starts, ends
 
 
@@ -154,12 +156,90 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
+def _beside(most: int) -> Callable:
+    """Hashes of up to `most` words outward from each wanted place of a text, nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = texts(batch.column("text"))
+            doc, place, side, out = [], [], [], []
+            for a, b in slices(column):
+                data, offsets = buffers(column.slice(a, b - a))
+                starts, ends = spans(data, offsets)
+                words, at = span_hashes(data, starts, ends).astype(np.uint32), counts_in(offsets, starts)
+                ids = batch.column("doc_id").slice(a, b - a).to_pylist()
+                for i, places in enumerate(batch.column("places").slice(a, b - a).to_pylist()):
+                    own = words[at[i] : at[i + 1]]
+                    for x in places:
+                        n = x["at"]
+                        doc.append(ids[i])
+                        place.append(n)
+                        side.append(x["side"])
+                        out.append((own[n : n + most] if x["side"] > 0 else own[max(0, n - most) : n][::-1]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(side, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "at", "side", "beside"])
+
+    return run
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """more: how many words beside a row equal those beside the one that stays."""
+    for batch in batches:
+        more = np.zeros(batch.num_rows, np.int64)
+        for i, (x, y) in enumerate(zip(batch.column("beside").to_pylist(), batch.column("theirs").to_pylist(), strict=True)):
+            n = min(len(x), len(y)) // 4
+            differ = np.frombuffer(x, np.uint32, n) != np.frombuffer(y, np.uint32, n)
+            more[i] = np.argmax(differ) if differ.any() else n
+        names = [c for c in batch.schema.names if c not in ("beside", "theirs")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(more)], names=[*names, "more"])
+
+
+def _grown(gone: DataFrame, docs: DataFrame, s: Scratch) -> DataFrame:
+    """gone with word and n_words grown over equal words; gone: also at_first and n_first, the place that stays.
+
+    Rows that share a doc_id but not their words grow no further where they differ.
+    """
+    key = ["doc_id", "word", "n_words"]
+    own = Window.partitionBy("doc_id").orderBy("word")
+    end = F.col("word") + F.col("n_words")
+    open_ = gone.withColumn("_l", F.coalesce(F.lag(end).over(own) < F.col("word"), F.lit(True))).withColumn("_r", F.coalesce(F.lead("word").over(own) > end, F.lit(True)))
+    sides = F.array(
+        F.when(F.col("_l"), F.struct(F.lit(-1).alias("side"), F.col("word").alias("at"), F.col("at_first").alias("at_theirs"))),
+        F.when(F.col("_r"), F.struct(F.lit(1).alias("side"), end.alias("at"), (F.col("at_first") + F.col("n_first")).alias("at_theirs"))),
+    )
+    turn = open_.select(*key, "first_doc_id", F.explode(sides).alias("x")).filter("x is not null").select(*key, "first_doc_id", "x.*")
+    turn, k, grown = s.write(turn, "ends-0"), 0, None
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    while True:
+        most = BESIDE * 8**k
+        places = turn.select("doc_id", "at", "side").unionByName(turn.select(F.col("first_doc_id").alias("doc_id"), F.col("at_theirs").alias("at"), "side"))
+        places = places.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "side")).alias("places"))
+        beside = source.join(places, "doc_id").mapInArrow(_beside(most), "doc_id long, at long, side int, beside binary")
+        beside = beside.groupBy("doc_id", "at", "side").agg(F.min("beside").alias("beside"), F.max("beside").alias("_m")).filter("beside = _m").drop("_m")
+        beside = s.write(beside, f"beside-{k}")
+        theirs = beside.select(F.col("doc_id").alias("first_doc_id"), F.col("at").alias("at_theirs"), "side", F.col("beside").alias("theirs"))
+        both = turn.join(beside, ["doc_id", "at", "side"]).join(theirs, ["first_doc_id", "at_theirs", "side"])
+        both = both.select(*key, "first_doc_id", "side", "at", "at_theirs", "beside", "theirs")
+        kinds = "doc_id long, word long, n_words long, first_doc_id long, side int, at long, at_theirs long, more long"
+        both = s.write(both.mapInArrow(_common, kinds).filter("more > 0"), f"grown-{k}")
+        grown = both if grown is None else grown.unionByName(both)
+        s.drop(f"ends-{k}", f"beside-{k}")
+        k += 1
+        turn = both.filter(F.col("more") == most).select(*key, "first_doc_id", "side", (F.col("at") + F.col("side") * most).alias("at"), (F.col("at_theirs") + F.col("side") * most).alias("at_theirs"))
+        turn = s.write(turn, f"ends-{k}")
+        if turn.isEmpty():
+            break
+    left, right = (F.sum(F.when(F.col("side") == x, F.col("more")).otherwise(0)).alias(n) for x, n in ((-1, "_left"), (1, "_right")))
+    by = grown.groupBy(*key, "first_doc_id").agg(left, right)
+    out = gone.join(by, [*key, "first_doc_id"], "left").fillna(0, ["_left", "_right"])
+    return out.withColumn("word", F.col("word") - F.col("_left")).withColumn("n_words", F.col("n_words") + F.col("_left") + F.col("_right"))
+
+
 def repeats(docs: DataFrame, spark: SparkSession, scratch: Scratch | None = None) -> DataFrame:
     """One row for each repeated paragraph that goes: doc_id, word, n_words, first_doc_id, component_id.
 
-    word, n_words: the paragraph's place in its document's words; first_doc_id: the
-    document that keeps it.  docs: doc_id (integer, not null) and text.  Null, empty
-    and short-lined texts have no paragraphs.  Repeats inside one document stay, and
+    word, n_words: the paragraph's place in its document's words, grown at the ends
+    of a run; first_doc_id: the document that keeps it.  docs: doc_id (integer, not
+    null) and text.  Null and empty texts have no paragraphs.  Repeats inside one document stay, and
     so do those of rows that share its doc_id.  An empty table gives none.
     """
     s = scratch or Scratch(spark, "substring")
@@ -187,7 +267,12 @@ def repeats(docs: DataFrame, spark: SparkSession, scratch: Scratch | None = None
     of = s.write(of, "classes")
     many = of.groupBy("component_id").agg(F.min("doc_id").alias("first_doc_id"), F.max("last").alias("last_doc_id")).filter("first_doc_id <> last_doc_id")
     again = of.join(many, "component_id").select("hash", "component_id", "first_doc_id")
-    return f.select("doc_id", "word", "n_words", "hash").join(again, "hash").filter("doc_id <> first_doc_id").select("doc_id", "word", "n_words", "first_doc_id", "component_id")
+    rows = s.write(f.select("doc_id", "word", "n_words", "hash").join(again, "hash").drop("hash"), "rows")
+    stays = rows.filter("doc_id = first_doc_id").groupBy("component_id").agg(F.min(F.struct("word", "n_words")).alias("x"))
+    stays = stays.select("component_id", F.col("x.word").alias("at_first"), F.col("x.n_words").alias("n_first"))
+    gone = s.write(rows.filter("doc_id <> first_doc_id").join(stays, "component_id"), "gone")
+    s.drop("paragraphs", "classes", "joined", "rows")
+    return _grown(gone, docs, s).select("doc_id", "word", "n_words", "first_doc_id", "component_id")
 
 
 def cut_words(text: str, gone: list[tuple[int, int]]) -> str:

@@ -58,3 +58,23 @@ def test_members_of_a_bucket_meet_each_other(spark):
     want = {(r["doc_id"], want[r["hash"]], min(docs[want[r["hash"]]])) for r in found if r["doc_id"] != min(docs[want[r["hash"]]])}
     got = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()
     assert {(r["doc_id"], r["component_id"], r["first_doc_id"]) for r in got} == want
+
+
+def test_a_planted_passage_goes_whole(spark):
+    """51 words, in one line and in lines of six words, and a longer run of one word."""
+    for seed in range(2):
+        rng = np.random.default_rng(seed)
+        words = lambda mark, n: [f"{mark}{x}" for x in rng.integers(0, 10**6, n)]
+        passage = words("p", 51)
+        lines = "\n".join(" ".join(passage[k : k + 6]) for k in range(0, 51, 6))
+        one, same, other = " ".join(passage), " ".join(["same"] * 150), " ".join(words("q", 51))
+        rows = [(1, f"{' '.join(words('a', 40))}\n{one}\n{' '.join(words('b', 40))}"), (2, f"{' '.join(words('c', 37))} {one} {' '.join(words('d', 45))}")]
+        rows += [(3, f"{' '.join(words('e', 9))}\n{lines}\n{' '.join(words('f', 3))}"), (4, one), (5, lines)]
+        rows += [(6, f"{' '.join(words('g', 12))} {other} {same} {' '.join(words('h', 12))}"), (7, f"{' '.join(words('i', 12))} {other} {same} {' '.join(words('j', 12))}")]
+        got = {r["doc_id"]: r["text"] for r in substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()}
+        assert got[1] == rows[0][1] and set(got) == {1, 2, 3, 6, 7}
+        assert got[6] == rows[5][1]
+        for k, marks in ((2, "cd"), (3, "ef"), (7, "ij")):
+            own = [w for w in rows[k - 1][1].split() if w[0] in marks]
+            left = got[k].split()
+            assert set(left) <= set(own) and len(own) - len(left) <= 5  # a like paragraph may have a few words more
