@@ -23,7 +23,7 @@ from reconweave.llm.words import _SPACE, buffers, span_hashes
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units kept by a worker; the cache starts anew beyond.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 250_000
 _WHOLE = "[\\x{0}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True

@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from reconweave.llm.scratch import Scratch
 
 
+#: Parts that the neighbours of one node are dealt to when they meet its least one.
+SALT = 16
+
+
+def _to_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows (u, v) with m of u's row in least; a node with many neighbours is SALT keys."""
+    parts = F.array(*(F.lit(k) for k in range(SALT)))
+    dealt = rows.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int"))
+    return dealt.join(least.withColumn("_s", F.explode(parts)), ["u", "_s"]).drop("_s")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours go to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return _to_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the least of those."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _to_least(down, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 

@@ -22,7 +22,18 @@ _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _SHINGLE = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at once, and so the length of the tables of powers.
+CHUNK = 1 << 16
+_FOLDED = _BYTE[_LOWER]
+
+
+def _powers_of(base: np.uint64) -> np.ndarray:
+    out = np.full(CHUNK + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_UP, _DOWN = _powers_of(_BASE), _powers_of(_INVERSE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,15 +45,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            _powers[k] = np.cumprod(out)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def texts(column: pa.Array | pa.ChunkedArray) -> pa.StringArray:
     """The column as one plain string array; nulls become empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -62,7 +64,7 @@ def buffers(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(column: pa.StringArray, most_bytes: int = 2_000_000, most_rows: int = 4096) -> Iterator[tuple[int, int]]:
+def slices(column: pa.StringArray, most_bytes: int = 512_000, most_rows: int = 4096) -> Iterator[tuple[int, int]]:
     """Row ranges of bounded bytes; a longer text is a range of its own."""
     if not len(column):
         return
@@ -90,15 +92,36 @@ def spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = Non
     return np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
 
 
+def _long_hash(data: np.ndarray, table: np.ndarray) -> np.uint64:
+    """The sum of one span of more than CHUNK bytes, piece by piece."""
+    total = 0
+    for a in range(0, len(data), CHUNK):
+        piece = data[a : a + CHUNK]
+        total += int(np.sum(table[piece] * _UP[: len(piece)], dtype=np.uint64)) * pow(int(_BASE), a, 2**64)
+    return np.uint64(total % 2**64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each byte span; lower: A-Z count as a-z."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data] if lower else data] * up[:-1], out=total[1:])
-    sums = (total[ends] - total[starts]) * down[starts]
-    return mix(sums + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each byte span; lower: A-Z count as a-z.
+
+    The spans ascend and do not overlap.  Sums run over CHUNK bytes at a time, so
+    the work arrays stay small however long the buffer is.
+    """
+    out, table, i = np.empty(len(starts), np.uint64), _FOLDED if lower else _BYTE, 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + CHUNK, "right"))
+        if j <= i:
+            out[i] = _long_hash(data[base : ends[i]], table)
+            i += 1
+            continue
+        n = int(ends[j - 1]) - base
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(table[data[base : base + n]] * _UP[:n], out=total[1:])
+        first = starts[i:j] - base
+        out[i:j] = (total[ends[i:j] - base] - total[first]) * _DOWN[first]
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def counts_in(offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -3,7 +3,8 @@ import re
 import pytest
 
 from reconweave.llm.components import components
-from reconweave.llm.minhash import near_duplicates
+from reconweave.llm import minhash
+from reconweave.llm.minhash import keep_one, near_duplicates
 from reconweave.llm.scratch import Scratch
 
 
@@ -16,7 +17,8 @@ def shingle_sets(rows, size):
 
 
 def brute_force(rows, size, percent):
-    sets, up = shingle_sets(rows, size), {i: i for i, _ in rows}
+    """The least doc_id of what each row is linked with."""
+    sets, up = shingle_sets(rows, size), list(range(len(rows)))
 
     def find(x):
         while up[x] != x:
@@ -26,10 +28,12 @@ def brute_force(rows, size, percent):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * len(a & b) >= percent * len(a | b):
-                x, y = find(rows[i][0]), find(rows[j][0])
-                up[max(x, y)] = min(x, y)
-    return {i: find(i) for i, _ in rows}
+            if a and b and find(i) != find(j) and 100 * len(a & b) >= percent * len(a | b):
+                up[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[find(i)] = min(doc_id, least.get(find(i), doc_id))
+    return [least[find(i)] for i in range(len(rows))]
 
 
 def corpus():
@@ -51,7 +55,7 @@ def test_components_equal_brute_force(spark, size):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "clash", "x") for i, t in rows], "doc_id long, text string, rep string, bands string").repartition(5)
     got = {r["doc_id"]: r for r in near_duplicates(docs, spark, shingle=size).collect()}
-    want = brute_force(rows, size, 80)
+    want = dict(zip((i for i, _ in rows), brute_force(rows, size, 80), strict=True))
     sizes = dict(zip((i for i, _ in rows), map(len, shingle_sets(rows, size)), strict=True))
     assert {i: r["component_id"] for i, r in got.items()} == want
     assert {i: r["n_shingles"] for i, r in got.items()} == sizes
@@ -65,6 +69,57 @@ def test_one_class_larger_than_a_block(spark):
     assert near_duplicates(docs, spark).filter("component_id = 0").count() == 900
 
 
+def test_rows_of_one_id_follow_their_texts(spark):
+    a, b = ([f"{m}{i}" for i in range(50)] for m in "ab")
+    near = lambda w: " ".join([*w[:-1], "end"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (8, None), (8, ""), (8, "alone"), (9, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(docs, spark).collect())
+    assert got == sorted((i, c) for (i, _), c in zip(rows, brute_force(rows, 5, 80), strict=True))
+    kept = sorted(tuple(r) for r in keep_one(docs.union(docs), spark).filter("length(text) > 0").collect())
+    assert kept == sorted([(5, " ".join(a)), (5, " ".join(b)), (8, "alone")])
+
+
+def test_many_repeated_rows(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(3, " ".join(words))] * 5000 + [(4, " ".join([*words[:-1], "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = near_duplicates(docs, spark).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(3, 3, 5000), (4, 3, 1)]
+    assert [r["doc_id"] for r in keep_one(docs, spark).collect()] == [3]
+
+
+def test_large_classes_of_several_parts(spark, monkeypatch):
+    """Blocks of eight: members of a class that only some others are like."""
+    import numpy as np
+
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    rng, rows = np.random.default_rng(3), []
+    base = [f"t{i}" for i in range(60)]
+    for k in range(240):
+        words = list(base)
+        for j in rng.choice(60, rng.integers(0, 3), replace=False):
+            words[j] = f"n{rng.integers(0, 40)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, spark, percent=80).collect()}
+    want = dict(zip(range(240), brute_force(rows, 5, 80), strict=True))
+    assert len(set(want.values())) > 1 and got == want
+
+
+def test_parts_of_a_large_class_meet(spark):
+    """All pairs of different parts are in some unit, and none of the largest part."""
+    found = spark.createDataFrame([(k, 1, 10) for k in range(2000)], "rep long, class long, n long")
+    large = spark.createDataFrame([(1, 2000, 6)], "class long, n_members long, k int")
+    label = spark.createDataFrame([(k, 0 if k < 1200 else 1200 + k % 5) for k in range(1998)], "rep long, component long")
+    units, part = {}, {k: 0 if k < 1200 else 1200 + k % 5 if k < 1998 else k for k in range(2000)}
+    for r in minhash._apart(found, large, label).collect():
+        units.setdefault((r["kind"], r["p"], r["q"]), []).append((r["rep"], r["side"]))
+    met = {(min(a, b), max(a, b)) for rows in units.values() for a, x in rows for b, y in rows if x + y < 2 and part[a] != part[b]}
+    assert met == {(a, b) for a in range(2000) for b in range(a + 1, 2000) if part[a] != part[b]}
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string"), spark).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
