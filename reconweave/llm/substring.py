@@ -3,9 +3,10 @@
 Paragraphs run over line ends and are cut where the hash of a word pair is the
 least within REACH words on either side, unless the next cut is less than
 LEAST_WORDS on.  Such cuts depend on the words around them alone, so a passage has
-the same paragraphs wherever it stands, in one line or in many.
+the same paragraphs wherever it stands, in one line or in many.  Every word is in a
+paragraph; a shorter document is one.
 
-1. Equal paragraphs form a class, known by a 128-bit hash of its lower-cased words.
+1. Equal paragraphs form a class, known by two 64-bit hashes of its lower-cased words.
 2. Each class has BANDS bands of one minimum over its five-word shingles; tuned by
    bands_for() so that a pair at the threshold is met with a chance of RECALL.
 3. In a bucket the members meet the least one, and are confirmed by the exact
@@ -14,7 +15,9 @@ the same paragraphs wherever it stands, in one line or in many.
 4. Components of the confirmed links join classes.  The first paragraph of a
    component (least doc_id, then place) stays; those of other documents go.
 5. At either end of a run that goes, it grows over the words that equal those
-   beside the paragraph that stays.
+   beside the paragraph that stays.  A run is a passage, and goes, if it has
+   PASSAGE_WORDS words or is its whole document; a shorter phrase that documents
+   share is none.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ from reconweave.llm.words import _SHINGLE, buffers, counts_in, mix, slices, span
 
 SHINGLE, PERCENT, RECALL = 5, 80, 0.995
 REACH, LEAST_WORDS = 6, 10
+#: Words in a row that make a repeated passage.
+PASSAGE_WORDS = 40
+#: Bytes of paragraphs that are held to be compared at once, about.
+HELD_BYTES = 8_000_000
 #: Words compared in the first round of growing; each later one has eight times as many.
 BESIDE = 64
 
@@ -65,20 +72,21 @@ def paragraphs(column: pa.StringArray) -> tuple[np.ndarray, ...]:
     cut = new.copy()
     cut[:-1] |= pair < least
     first = np.flatnonzero(cut[:-1])
-    first = first[new[first] | (np.diff(np.append(first, len(words))) >= LEAST_WORDS)]
-    end = np.append(first[1:], len(words))
-    keep = end - first >= LEAST_WORDS
-    return words, at, first[keep], end[keep], starts, ends
+    begin = at[np.searchsorted(at, first, "right") - 1]
+    size = np.diff(np.append(first, len(words)))
+    first = first[new[first] | ((size >= LEAST_WORDS) & (first - begin >= LEAST_WORDS))]
+    return words, at, first, np.append(first[1:], len(words)), starts, ends
 
 
 def _minima(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """BANDS keys of each paragraph (all have at least SHINGLE words)."""
-    n = end - first - SHINGLE + 1
+    """BANDS keys of each paragraph; one of fewer than SHINGLE words is a shingle."""
+    n = np.maximum(end - first - SHINGLE + 1, 1)
     at = np.cumsum(n) - n
     where = np.repeat(first - at, n) + np.arange(n.sum())
+    last = np.repeat(end - 1, n)
     value = np.zeros(len(where), np.uint64)
     for k in range(SHINGLE):
-        value += words[where + k] * _SHINGLE[k]
+        value += np.where(where + k <= last, words[np.minimum(where + k, last)] * _SHINGLE[k], np.uint64(0))
     x = mix(value) & np.uint64(0xFFFFFFFF)
     return np.stack([mix(np.minimum.reduceat(x * _A[k] + _B[k], at) + np.uint64(k)) for k in range(BANDS)], axis=1)
 
@@ -92,19 +100,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(first):
                 continue
             doc = np.searchsorted(at, first, "right") - 1
-            place = np.arange(len(words)) - np.repeat(at[:-1], np.diff(at))
+            place = first - at[doc]
             size = end - first
-            inside = np.repeat(np.arange(len(first)), size)
-            where = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            nth = (where - first[inside]).astype(np.uint64)
-            heads = np.cumsum(size) - size
-            d1 = np.add.reduceat(mix(words[where] + nth * _SHINGLE[9]), heads)
+            heads = np.cumsum(size) - size  # paragraphs cover all words, in turn
+            nth = (np.arange(len(words)) - np.repeat(first, size)).astype(np.uint64)
+            d1 = np.add.reduceat(mix(words + nth * _SHINGLE[9]), heads)
+            d2 = np.add.reduceat(mix((words ^ _SHINGLE[11]) + nth * _SHINGLE[10]), heads)
             data = buffers(part)[0].tobytes()
             text = [data[i:j].decode() for i, j in zip(starts[first].tolist(), ends[end - 1].tolist(), strict=True)]
             keys = _minima(words, first, end).view(np.int64)
+            own = [batch.column(c).slice(a, b - a).take(pa.array(doc)) for c in ("doc_id", "th")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a).cast(pa.int64()).take(pa.array(doc)), pa.array(place[first]), pa.array(size), pa.array(d1.view(np.int64)), pa.array(list(keys), pa.list_(pa.int64())), pa.array(text, pa.string())],
-                names=["doc_id", "word", "n_words", "hash", "bands", "text"],
+                [own[0].cast(pa.int64()), own[1], pa.array(np.diff(at)[doc]), pa.array(place), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(list(keys), pa.list_(pa.int64())), pa.array(text, pa.string())],
+                names=["doc_id", "th", "of", "word", "n_words", "hash", "check", "bands", "text"],
             )
 
 
@@ -113,8 +121,8 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
         left, right = texts(batch.column("text_a")), texts(batch.column("text_b"))
-        for a in range(0, batch.num_rows, 4096):
-            n = min(4096, batch.num_rows - a)
+        for a in range(0, batch.num_rows, 1024):
+            n = min(1024, batch.num_rows - a)
             (x, xs), (y, ys) = (word_sets(c.slice(a, n), SHINGLE) for c in (left, right))
             own = (np.repeat(np.arange(n, dtype=np.uint64), np.diff(xs)) << np.uint64(52)) | x
             other = (np.repeat(np.arange(n, dtype=np.uint64), np.diff(ys)) << np.uint64(52)) | y
@@ -126,10 +134,10 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between members of a bucket that the star left in different groups."""
     u, v = [], []
-    held, rows = [], 0
+    held, rows, size = [], 0, 0
 
     def flush() -> None:
-        nonlocal held, rows
+        nonlocal held, rows, size
         if not held:
             return
         values, at = word_sets(texts(pa.concat_tables(held).column("text")), SHINGLE)
@@ -145,13 +153,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             u.append(node[i])
                             v.append(node[j])
             base += g.num_rows
-        held, rows = [], 0
+        held, rows, size = [], 0, 0
 
     for t in groups(batches, ["bucket", "p", "q"]):
-        if rows + t.num_rows > 2048:
+        if rows + t.num_rows > 2048 or size + t.nbytes > HELD_BYTES:
             flush()
         held.append(t.select(["hash", "label", "text"]))
-        rows += t.num_rows
+        rows, size = rows + t.num_rows, size + t.nbytes
     flush()
     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -162,21 +170,22 @@ def _beside(most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = texts(batch.column("text"))
-            doc, place, side, out = [], [], [], []
+            doc, hashes, place, side, out = [], [], [], [], []
             for a, b in slices(column):
                 data, offsets = buffers(column.slice(a, b - a))
                 starts, ends = spans(data, offsets)
                 words, at = span_hashes(data, starts, ends).astype(np.uint32), counts_in(offsets, starts)
-                ids = batch.column("doc_id").slice(a, b - a).to_pylist()
+                ids, th = (batch.column(c).slice(a, b - a).to_pylist() for c in ("doc_id", "th"))
                 for i, places in enumerate(batch.column("places").slice(a, b - a).to_pylist()):
                     own = words[at[i] : at[i + 1]]
                     for x in places:
                         n = x["at"]
                         doc.append(ids[i])
+                        hashes.append(th[i])
                         place.append(n)
                         side.append(x["side"])
                         out.append((own[n : n + most] if x["side"] > 0 else own[max(0, n - most) : n][::-1]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(side, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "at", "side", "beside"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(hashes, pa.int64()), pa.array(place, pa.int64()), pa.array(side, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "th", "at", "side", "beside"])
 
     return run
 
@@ -193,58 +202,68 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(more)], names=[*names, "more"])
 
 
-def _grown(gone: DataFrame, docs: DataFrame, s: Scratch) -> DataFrame:
-    """gone with word and n_words grown over equal words; gone: also at_first and n_first, the place that stays.
+#: A row is known by doc_id and the hash of its text; so is the one that keeps a passage.
+ROW, FIRST = ["doc_id", "th"], ["first_doc_id", "first_th"]
 
-    Rows that share a doc_id but not their words grow no further where they differ.
-    """
-    key = ["doc_id", "word", "n_words"]
-    own = Window.partitionBy("doc_id").orderBy("word")
+
+def _grown(gone: DataFrame, docs: DataFrame, s: Scratch) -> DataFrame:
+    """gone with word and n_words grown over equal words; gone: also at_first and n_first, the place that stays."""
+    key = [*ROW, "word", "n_words"]
+    own = Window.partitionBy(*ROW).orderBy("word")
     end = F.col("word") + F.col("n_words")
     open_ = gone.withColumn("_l", F.coalesce(F.lag(end).over(own) < F.col("word"), F.lit(True))).withColumn("_r", F.coalesce(F.lead("word").over(own) > end, F.lit(True)))
     sides = F.array(
         F.when(F.col("_l"), F.struct(F.lit(-1).alias("side"), F.col("word").alias("at"), F.col("at_first").alias("at_theirs"))),
         F.when(F.col("_r"), F.struct(F.lit(1).alias("side"), end.alias("at"), (F.col("at_first") + F.col("n_first")).alias("at_theirs"))),
     )
-    turn = open_.select(*key, "first_doc_id", F.explode(sides).alias("x")).filter("x is not null").select(*key, "first_doc_id", "x.*")
+    turn = open_.select(*key, *FIRST, F.explode(sides).alias("x")).filter("x is not null").select(*key, *FIRST, "x.*")
     turn, k, grown = s.write(turn, "ends-0"), 0, None
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    kinds = "doc_id long, th long, word long, n_words long, first_doc_id long, first_th long, side int, at long, at_theirs long, more long"
     while True:
         most = BESIDE * 8**k
-        places = turn.select("doc_id", "at", "side").unionByName(turn.select(F.col("first_doc_id").alias("doc_id"), F.col("at_theirs").alias("at"), "side"))
-        places = places.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "side")).alias("places"))
-        beside = source.join(places, "doc_id").mapInArrow(_beside(most), "doc_id long, at long, side int, beside binary")
-        beside = beside.groupBy("doc_id", "at", "side").agg(F.min("beside").alias("beside"), F.max("beside").alias("_m")).filter("beside = _m").drop("_m")
-        beside = s.write(beside, f"beside-{k}")
-        theirs = beside.select(F.col("doc_id").alias("first_doc_id"), F.col("at").alias("at_theirs"), "side", F.col("beside").alias("theirs"))
-        both = turn.join(beside, ["doc_id", "at", "side"]).join(theirs, ["first_doc_id", "at_theirs", "side"])
-        both = both.select(*key, "first_doc_id", "side", "at", "at_theirs", "beside", "theirs")
-        kinds = "doc_id long, word long, n_words long, first_doc_id long, side int, at long, at_theirs long, more long"
+        theirs = turn.select(F.col("first_doc_id").alias("doc_id"), F.col("first_th").alias("th"), F.col("at_theirs").alias("at"), "side")
+        places = turn.select(*ROW, "at", "side").unionByName(theirs).distinct().groupBy(*ROW).agg(F.collect_list(F.struct("at", "side")).alias("places"))
+        beside = source.join(places, ROW).mapInArrow(_beside(most), "doc_id long, th long, at long, side int, beside binary")
+        beside = s.write(beside.groupBy(*ROW, "at", "side").agg(F.min("beside").alias("beside")), f"beside-{k}")  # rows that repeat
+        theirs = beside.select(F.col("doc_id").alias("first_doc_id"), F.col("th").alias("first_th"), F.col("at").alias("at_theirs"), "side", F.col("beside").alias("theirs"))
+        both = turn.join(beside, [*ROW, "at", "side"]).join(theirs, [*FIRST, "at_theirs", "side"])
+        both = both.select(*key, *FIRST, "side", "at", "at_theirs", "beside", "theirs")
         both = s.write(both.mapInArrow(_common, kinds).filter("more > 0"), f"grown-{k}")
         grown = both if grown is None else grown.unionByName(both)
         s.drop(f"ends-{k}", f"beside-{k}")
         k += 1
-        turn = both.filter(F.col("more") == most).select(*key, "first_doc_id", "side", (F.col("at") + F.col("side") * most).alias("at"), (F.col("at_theirs") + F.col("side") * most).alias("at_theirs"))
+        turn = both.filter(F.col("more") == most).select(*key, *FIRST, "side", (F.col("at") + F.col("side") * most).alias("at"), (F.col("at_theirs") + F.col("side") * most).alias("at_theirs"))
         turn = s.write(turn, f"ends-{k}")
         if turn.isEmpty():
             break
     left, right = (F.sum(F.when(F.col("side") == x, F.col("more")).otherwise(0)).alias(n) for x, n in ((-1, "_left"), (1, "_right")))
-    by = grown.groupBy(*key, "first_doc_id").agg(left, right)
-    out = gone.join(by, [*key, "first_doc_id"], "left").fillna(0, ["_left", "_right"])
+    by = grown.groupBy(*key, *FIRST).agg(left, right)
+    out = gone.join(by, [*key, *FIRST], "left").fillna(0, ["_left", "_right"])
     return out.withColumn("word", F.col("word") - F.col("_left")).withColumn("n_words", F.col("n_words") + F.col("_left") + F.col("_right"))
 
 
-def repeats(docs: DataFrame, spark: SparkSession, scratch: Scratch | None = None) -> DataFrame:
-    """One row for each repeated paragraph that goes: doc_id, word, n_words, first_doc_id, component_id.
+def _passages(rows: DataFrame) -> DataFrame:
+    """The rows whose run, with what touches or overlaps it, is a passage or the whole document."""
+    own = Window.partitionBy(*ROW).orderBy("word", "n_words")
+    end = F.col("word") + F.col("n_words")
+    new = F.coalesce(F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1)) < F.col("word"), F.lit(True))
+    out = rows.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*ROW, "_run")
+    size = F.max(end).over(run) - F.min("word").over(run)
+    return out.withColumn("_size", size).filter((F.col("_size") >= PASSAGE_WORDS) | (F.col("_size") == F.col("of"))).drop("_new", "_run", "_size")
 
-    word, n_words: the paragraph's place in its document's words, grown at the ends
-    of a run; first_doc_id: the document that keeps it.  docs: doc_id (integer, not
-    null) and text.  Null and empty texts have no paragraphs.  Repeats inside one document stay, and
-    so do those of rows that share its doc_id.  An empty table gives none.
-    """
-    s = scratch or Scratch(spark, "substring")
-    made = docs.select("doc_id", "text").mapInArrow(_features, "doc_id long, word long, n_words long, hash long, bands array<long>, text string")
+
+def _cuts(docs: DataFrame, spark: SparkSession, s: Scratch) -> DataFrame:
+    """repeats() with th, the hash of the row's text."""
+    kinds = "doc_id long, th long, of long, word long, n_words long, hash long, check long, bands array<long>, text string"
+    made = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_features, kinds)
     f = s.write(made, "paragraphs")
+    clash = f.groupBy("hash").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").select("hash")
+    clash = s.write(clash, "clash")
+    if not clash.isEmpty():  # other words with the same hash: about one pair in 2**64
+        own = f.join(clash.withColumn("_other", F.lit(True)), "hash", "left")
+        f = s.write(own.withColumn("hash", F.when(F.col("_other"), F.xxhash64("hash", "check")).otherwise(F.col("hash"))).select(f.columns), "paragraphs-apart")
     classes = f.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
     bands = f.select("hash", F.explode("bands").alias("bucket")).repartition("bucket")
     shared = bands.groupBy("bucket").agg(F.min("hash").alias("u"), F.max("hash").alias("w")).filter("u <> w").drop("w")
@@ -267,12 +286,26 @@ def repeats(docs: DataFrame, spark: SparkSession, scratch: Scratch | None = None
     of = s.write(of, "classes")
     many = of.groupBy("component_id").agg(F.min("doc_id").alias("first_doc_id"), F.max("last").alias("last_doc_id")).filter("first_doc_id <> last_doc_id")
     again = of.join(many, "component_id").select("hash", "component_id", "first_doc_id")
-    rows = s.write(f.select("doc_id", "word", "n_words", "hash").join(again, "hash").drop("hash"), "rows")
-    stays = rows.filter("doc_id = first_doc_id").groupBy("component_id").agg(F.min(F.struct("word", "n_words")).alias("x"))
-    stays = stays.select("component_id", F.col("x.word").alias("at_first"), F.col("x.n_words").alias("n_first"))
-    gone = s.write(rows.filter("doc_id <> first_doc_id").join(stays, "component_id"), "gone")
-    s.drop("paragraphs", "classes", "joined", "rows")
-    return _grown(gone, docs, s).select("doc_id", "word", "n_words", "first_doc_id", "component_id")
+    rows = s.write(f.select(*ROW, "of", "word", "n_words", "hash").join(again, "hash").drop("hash"), "rows")
+    stays = rows.filter("doc_id = first_doc_id").groupBy("component_id").agg(F.min(F.struct("th", "word", "n_words")).alias("x"))
+    stays = stays.select("component_id", F.col("x.th").alias("first_th"), F.col("x.word").alias("at_first"), F.col("x.n_words").alias("n_first"))
+    gone = s.write(rows.filter("doc_id <> first_doc_id").distinct().join(stays, "component_id"), "gone")
+    s.drop("paragraphs", "paragraphs-apart", "clash", "classes", "joined", "rows")
+    return _passages(_grown(gone, docs, s)).select(*ROW, "word", "n_words", "first_doc_id", "component_id")
+
+
+def repeats(docs: DataFrame, spark: SparkSession, scratch: Scratch | None = None) -> DataFrame:
+    """One row for each repeated paragraph that goes: doc_id, word, n_words, first_doc_id, component_id.
+
+    word, n_words: the paragraph's place in its document's words, grown at the ends
+    of a run; first_doc_id: the document that keeps it.  docs: doc_id (integer, not
+    null) and text; other columns are ignored.  Null and empty texts have no
+    paragraphs.  Repeats inside one document stay, and so do those of rows that share
+    its doc_id.  Rows that repeat doc_id and text give their places once; rows that
+    repeat a doc_id with another text give those of each text.  An empty table gives
+    none.
+    """
+    return _cuts(docs, spark, scratch or Scratch(spark, "substring")).drop("th")
 
 
 def cut_words(text: str, gone: list[tuple[int, int]]) -> str:
@@ -282,7 +315,7 @@ def cut_words(text: str, gone: list[tuple[int, int]]) -> str:
     at, kept = 0, []
     for a, b in gone:
         kept.append(raw[at : starts[a]])
-        at = ends[b - 1]
+        at = max(at, ends[b - 1])
     return "\n".join(x for x in (b"".join(kept) + raw[at:]).decode().split("\n") if x.strip())
 
 
@@ -300,18 +333,19 @@ def _remove(names: list[str]) -> Callable:
 
 
 def without_repeats(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """docs with the repeated paragraphs cut out of text; a text of which nothing is left goes.
+    """docs with the repeated passages cut out of text; a text of which nothing is left goes.
 
-    Other columns stay as they are, except that n_chars, where there is one, follows
-    the text.  Rows without repeats stay as they are.
+    Cuts are of a row's own text, whatever other rows have its doc_id.  Other columns
+    stay as they are, except that n_chars, where there is one, follows the text.  Rows
+    without repeats stay as they are, null and empty texts too.
     """
     s = Scratch(spark, "substring")
-    cuts = repeats(docs, spark, s).groupBy("doc_id").agg(F.collect_set(F.struct("word", "n_words")).alias("_cuts"))
+    cuts = _cuts(docs, spark, s).groupBy("doc_id", F.col("th").alias("_th")).agg(F.collect_set(F.struct("word", "n_words")).alias("_cuts"))
     cuts = Scratch(spark, "cuts").write(cuts, "cuts")
     s.clear()
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.join(cuts, "doc_id", "left").select(*names, "_cuts").mapInArrow(_remove(names), kinds)
+    out = docs.withColumn("_th", F.xxhash64("text")).join(cuts, ["doc_id", "_th"], "left").select(*names, "_cuts").mapInArrow(_remove(names), kinds)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out
