@@ -9,20 +9,25 @@ words of the text.  Runs of equal labels are the language spans.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconweave.llm.words import _LOWER, _SPACE, buffers, slices, spans, texts
+from reconweave.llm.words import _SPACE, mix, slices, texts
 
 #: The bounded sample to learn from: the rows of a language with the least hashes.
 ROWS_PER_LANGUAGE = 1500
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
+#: Bytes of text that are read at once, and scores (words x languages) that a worker keeps.
+SLICE_BYTES, KEPT_SCORES = 256_000, 1_000_000
 #: Nats that a change of language costs, and the most that one word can say.
 SWITCH, WORD_CAP = 8.0, 12.0
 #: A language writes a script if so large a part of its letters is in it.
@@ -34,9 +39,16 @@ SCRIPT_OF = ["", "Latin", "", "Latin", "", "Latin", "", "Latin", "", "Latin", ""
 SCRIPTS = sorted({x for x in SCRIPT_OF if x})
 _STARTS = np.array(SCRIPT_STARTS, np.uint32)
 _SCRIPT = np.array([SCRIPTS.index(x) if x else -1 for x in SCRIPT_OF])
+_OTHER = SCRIPTS.index("Other")
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter by its Unicode category."""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
 @dataclass
 class Words:
     """The words of some texts as lower-cased code points, each between two blanks."""
@@ -46,7 +58,7 @@ class Words:
     last: np.ndarray
     at: np.ndarray  # n + 1 offsets of the texts in the words
     letters: np.ndarray  # in each word
-    script: np.ndarray  # of each word: that of its first letter, or -1
+    script: np.ndarray  # of each word: that of its first letter, or -1 if it has none
     span: tuple[np.ndarray, np.ndarray]  # code points of each word in its text
 
 
@@ -62,36 +74,43 @@ def read_words(column: pa.StringArray) -> Words:
     sizes = np.fromiter(map(len, column.to_pylist()), np.int64, len(column)) + 1
     begin = np.concatenate([[0], np.cumsum(sizes)])
     at = np.searchsorted(first, begin)
-    kind = _SCRIPT[np.searchsorted(_STARTS, points, "right") - 1]
-    letter = kind >= 0
+    letter = _letters()[points]
     total = np.concatenate([[0], np.cumsum(letter)])
     place = np.flatnonzero(letter)
     n = total[last] - total[first]
     script = np.full(len(first), -1)
     has = n > 0
-    script[has] = kind[place[total[first[has]]]]
+    own = _SCRIPT[np.searchsorted(_STARTS, points[place[total[first[has]]]], "right") - 1]
+    script[has] = np.where(own < 0, _OTHER, own)
     base = np.repeat(begin[:-1], np.diff(at))
     return Words(points, first, last, at, n, script, (first - base, last - base))
 
 
-def grams(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, bucket) of the n-grams of 1 to 4 code points, blanks at the ends included."""
-    padded = np.concatenate([[10], words.points]).astype(np.uint64)
-    first, size = words.first[keep], (words.last - words.first)[keep] + 2
+def grams(words: Words, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index in which, bucket) of the n-grams of 1, 2, 3 and 4 code points of the chosen words, blanks at their ends included."""
+    first, size = words.first[which], (words.last - words.first)[which] + 2
     total = np.cumsum(size)
-    flat = np.repeat(first - (total - size), size) + np.arange(total[-1] if len(total) else 0)
-    left = np.repeat(total, size) - np.arange(len(flat))  # code points to the end of the word
-    word = np.repeat(np.flatnonzero(keep), size)
-    ones, buckets = [], []
+    flat = np.repeat(first - (total - size), size) + np.arange(total[-1] if len(total) else 0) - 1
+    left = (np.repeat(total, size) - np.arange(len(flat))).astype(np.int32)  # code points to the end of the word
+    word = np.repeat(np.arange(len(which), dtype=np.int32), size)
     value = np.zeros(len(flat), np.uint64)
     for n in range(4):
         held = left > n
         flat, left, word = flat[held], left[held], word[held]
-        value = (value[held] + padded[flat + n]) * _MULT[n]
+        value = (value[held] + np.where(flat + n < 0, 10, words.points[flat + n]).astype(np.uint64)) * _MULT[n]
         value ^= value >> np.uint64(29)
-        ones.append(word)
-        buckets.append(((value * _MULT[0]) >> np.uint64(48)).astype(np.int64))
-    return np.concatenate(ones), np.concatenate(buckets)
+        yield word, ((value * _MULT[0]) >> np.uint64(48)).astype(np.int32)
+
+
+def word_keys(words: Words) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    size = words.last - words.first
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(begin, size)
+    flat = np.repeat(words.first, size) + place
+    return np.add.reduceat(mix(words.points[flat] * _MULT[1] + place.astype(np.uint64) * _MULT[2]), begin)
 
 
 def _count(languages: list[str]) -> Callable:
@@ -101,11 +120,12 @@ def _count(languages: list[str]) -> Callable:
         for batch in batches:
             column = texts(batch.column("text"))
             code = np.array([languages.index(x) for x in batch.column("lang").to_pylist()], np.int64)
-            for a, b in slices(column, 1_000_000):
+            for a, b in slices(column, SLICE_BYTES):
                 words = read_words(column.slice(a, b - a))
                 lang = np.repeat(code[a:b], np.diff(words.at))
-                word, bucket = grams(words, words.letters > 0)
-                count += np.bincount(lang[word] * BUCKETS + bucket, minlength=count.size).reshape(count.shape)
+                for k in np.unique(code[a:b]).tolist():
+                    for _, bucket in grams(words, np.flatnonzero((words.letters > 0) & (lang == k))):
+                        count[k] += np.bincount(bucket, minlength=BUCKETS)
                 has = words.script >= 0
                 np.add.at(script, (lang[has], words.script[has]), words.letters[has])
         for table, kind in ((count, 0), (script, 1)):
@@ -118,7 +138,7 @@ def _count(languages: list[str]) -> Callable:
 @dataclass
 class Model:
     languages: list[str]
-    logs: np.ndarray  # BUCKETS x languages
+    logs: np.ndarray  # languages x BUCKETS
     writes: np.ndarray  # scripts x languages
 
 
@@ -128,7 +148,7 @@ def train(labelled: DataFrame) -> Model:
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPTS), 0), bool))
+        return Model([], np.zeros((0, BUCKETS)), np.zeros((len(SCRIPTS), 0), bool))
     span = 1 << 30
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(span, ROWS_PER_LANGUAGE * span // sizes[k]))])
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(span)) < share[F.col("lang")])
@@ -140,64 +160,107 @@ def train(labelled: DataFrame) -> Model:
         table[part.place.to_numpy(), part.lang.to_numpy()] = part.n.to_numpy()
     logs = np.log(count + SMOOTHING) - np.log(count.sum(axis=0) + SMOOTHING * BUCKETS)
     writes = script >= SCRIPT_SHARE * np.maximum(script.sum(axis=0), 1)
-    return Model(languages, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32), writes & (script > 0))
-
-
-def word_scores(words: Words, model: Model) -> np.ndarray:
-    """words x languages: how much better each language is than the best; -WORD_CAP at worst."""
-    scores = np.zeros((len(words.first), len(model.languages)), np.float32)
-    has = words.letters > 0
-    if not has.any():
-        return scores
-    word, bucket = grams(words, has)
-    for k in range(len(model.languages)):
-        scores[:, k] = np.bincount(word, model.logs[bucket, k], len(scores))
-    allowed = model.writes[words.script]
-    allowed[~allowed.any(axis=1)] = True
-    scores -= np.where(allowed, scores, -np.inf).max(axis=1, keepdims=True)
-    scores = np.where(allowed, np.maximum(scores, -WORD_CAP), -2 * WORD_CAP)
-    scores[~has] = 0
-    return scores
-
-
-def settled(scores: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's language of the best total, and whether no other labelling beats it.
-
-    A stretch of other labels costs a change at least, and gains at most the
-    largest sum, over a run of words, of the best score less this language's.
+    return Model(languages, np.ascontiguousarray((logs - logs.mean(axis=1, keepdims=True)).T, np.float32), writes & (script > 0))
+
+
+class Scorer:
+    """Scores of words by language; a worker keeps those of the words it has met."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.kept = np.zeros(0, np.uint64), np.zeros((0, len(self.model.languages)), np.float32)
+
+    def fresh(self, words: Words, which: np.ndarray) -> np.ndarray:
+        """How much better each language is than the best for the words; -WORD_CAP at worst."""
+        total = np.zeros((len(which), len(self.model.languages)), np.float32)
+        for word, bucket in grams(words, which):
+            for k, logs in enumerate(self.model.logs):
+                total[:, k] += np.bincount(word, logs[bucket], len(which))
+        allowed = self.model.writes[words.script[which]]
+        allowed[~allowed.any(axis=1)] = True
+        total -= np.where(allowed, total, -np.inf).max(axis=1, keepdims=True)
+        return np.where(allowed, np.maximum(total, -WORD_CAP), np.float32(-2 * WORD_CAP))
+
+    def scores(self, words: Words) -> np.ndarray:
+        """words x languages; 0 for a word without letters."""
+        out = np.zeros((len(words.first), len(self.model.languages)), np.float32)
+        has = np.flatnonzero(words.letters > 0)
+        if not len(has) or not self.model.languages:
+            return out
+        keys, one, back = np.unique(word_keys(words)[has], return_index=True, return_inverse=True)
+        if (len(self.keys) + len(keys)) * out.shape[1] > KEPT_SCORES:
+            self._clear()
+        at = np.searchsorted(self.keys, keys)
+        lack = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        lack[inside] = self.keys[at[inside]] != keys[inside]
+        if lack.any():
+            self.kept = np.insert(self.kept, at[lack], self.fresh(words, has[one[lack]]), axis=0)
+            self.keys = np.insert(self.keys, at[lack], keys[lack])
+            at = np.searchsorted(self.keys, keys)
+        out[has] = self.kept[at][back]
+        return out
+
+
+def _highest(gain: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each word, the largest sum of gain over a run of its text's words that ends with it."""
+    after = np.cumsum(gain)
+    apart = (after.max() - after.min() + np.abs(gain).max() + 1.0) * doc  # so that no run begins in another text
+    return after - np.minimum.accumulate(after - gain - apart) - apart
+
+
+def loose(scores: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's language of the best total, and the words that the best labelling may give another one.
+
+    A stretch of other labels costs a change at least, and gains at most the sum, over
+    its words, of the best other score less this language's.  A word in no run whose
+    sum reaches the cost has its text's language for certain.
     """
     total = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores, axis=0, dtype=np.float64)])
     one = (total[at[1:]] - total[at[:-1]]).argmax(axis=1)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    gain = scores.max(axis=1).astype(np.float64) - scores[np.arange(len(scores)), one[doc]]
-    after = np.cumsum(gain)
-    lower = np.minimum.accumulate(after - gain - doc * (after[-1] + 1.0)) + doc * (after[-1] + 1.0)
-    most = np.zeros(len(at) - 1)
-    np.maximum.at(most, doc, after - lower)
-    return one, most < SWITCH - 1e-3
+    own = scores[np.arange(len(scores)), one[doc]].astype(np.float64)
+    others = scores.copy()
+    others[np.arange(len(scores)), one[doc]] = -np.inf
+    gain = others.max(axis=1) - own
+    ends = _highest(gain, doc)
+    begins = _highest(gain[::-1], doc[-1] - doc[::-1])[::-1]
+    return one, ends + begins - gain > SWITCH - 1e-3
 
 
 def viterbi(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The best label of each word, when a change of label within a text costs SWITCH."""
-    if not scores.size:
-        return np.zeros(len(scores), np.int8)
-    one, sure = settled(scores, at)
-    n = np.diff(at)
-    out = np.repeat(one, n).astype(np.int8)
-    if not sure.all():
-        rest = np.repeat(~sure, n)
-        out[rest] = _steps(scores[rest], np.concatenate([[0], np.cumsum(n[~sure])]))
+    if not scores.size or scores.shape[1] == 1:
+        return np.zeros(len(scores), np.int16)
+    one, free = loose(scores, at)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    out = one[doc].astype(np.int16)
+    if free.any():
+        new, last = free.copy(), free.copy()
+        new[1:] &= ~free[:-1] | (doc[1:] != doc[:-1])
+        last[:-1] &= ~free[1:] | (doc[1:] != doc[:-1])
+        first, end = np.flatnonzero(new), np.flatnonzero(last) + 1
+        before = first > at[:-1][doc[first]]  # words of the text's language stand there
+        after = end < at[1:][doc[first]]
+        out[free] = _steps(scores[free], np.concatenate([[0], np.cumsum(end - first)]), one[doc[first]], before, after)
     return out
 
 
-def _steps(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Viterbi of all texts at once, word by word, longest text first."""
+def _steps(scores: np.ndarray, at: np.ndarray, one: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Viterbi of all stretches at once, word by word, longest first.
+
+    before, after: a word with label `one` stands at that side of the stretch.
+    """
     n = np.diff(at)
     order = np.argsort(-n, kind="stable")
-    begin, size = at[:-1][order], n[order]
+    begin, size, one = at[:-1][order], n[order], one[order]
     width = scores.shape[1]
-    back = np.zeros(scores.shape, np.int8)
-    state = np.zeros((len(order), width), np.float32)
+    back = np.zeros(scores.shape, np.int16)
+    other = np.arange(width) != one[:, None]
+    state = np.where(other & before[order][:, None], np.float32(-SWITCH), np.float32(0))
     live = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
     for t, m in enumerate(live.tolist()):
         now, row = state[:m], begin[:m] + t
@@ -209,8 +272,8 @@ def _steps(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
             now = np.where(stay, now, best[:, None])
         now = now + scores[row]
         state[:m] = now - now.max(axis=1, keepdims=True)
-    out = np.zeros(len(scores), np.int8)
-    label = state.argmax(axis=1)
+    out = np.zeros(len(scores), np.int16)
+    label = (state - np.where(other & after[order][:, None], SWITCH, 0)).argmax(axis=1)
     for t in range(len(live) - 1, -1, -1):
         m = live[t]
         row = begin[:m] + t
@@ -220,23 +283,28 @@ def _steps(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _labelled(column: pa.StringArray, scorer: Scorer) -> tuple:
+    """Words, their labels, the text of each, and of each text the best language's number, score and whether it is und."""
+    words, n, width = read_words(column), len(column), len(scorer.model.languages)
+    label = viterbi(scorer.scores(words), words.at)
+    doc = np.repeat(np.arange(n), np.diff(words.at))
+    mass = np.bincount(doc * max(width, 1) + label, words.letters, n * max(width, 1)).reshape(n, max(width, 1))
+    letters, best = mass.sum(axis=1), mass.argmax(axis=1)
+    none = (letters == 0) | (width == 0)
+    score = np.where(none, 0.0, mass[np.arange(n), best] / np.maximum(letters, 1))
+    return words, label, doc, np.where(none, width, best), score, none
+
+
 def _predict(model: Model, with_spans: bool) -> Callable:
     names = np.array([*model.languages, "und"])
-    width = len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
         for batch in batches:
             column = texts(batch.column("text"))
-            for a, b in slices(column, 1_000_000):
-                words = read_words(column.slice(a, b - a))
-                label = viterbi(word_scores(words, model), words.at)
-                doc = np.repeat(np.arange(b - a), np.diff(words.at))
-                mass = np.zeros((b - a, max(width, 1)))
-                np.add.at(mass, (doc, label), words.letters)
-                letters, best = mass.sum(axis=1), mass.argmax(axis=1)
-                none = (letters == 0) | (width == 0)
-                score = np.where(none, 0.0, mass[np.arange(b - a), best] / np.maximum(letters, 1))
-                out = [batch.column("doc_id").slice(a, b - a), pa.array(names[np.where(none, width, best)]), pa.array(score)]
+            for a, b in slices(column, SLICE_BYTES):
+                words, label, doc, best, score, none = _labelled(column.slice(a, b - a), scorer)
+                out = [batch.column("doc_id").slice(a, b - a), pa.array(names[best]), pa.array(score)]
                 if with_spans:
                     out.append(_spans(words, label, doc, names, none))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "spans"][: len(out)])
@@ -244,6 +312,19 @@ def _predict(model: Model, with_spans: bool) -> Callable:
     return run
 
 
+def _keep(model: Model, least: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            column, good = texts(batch.column("text")), np.zeros(batch.num_rows, bool)
+            for a, b in slices(column, SLICE_BYTES):
+                *_, score, none = _labelled(column.slice(a, b - a), scorer)
+                good[a:b] = ~none & (score >= least)
+            yield batch.filter(pa.array(good))
+
+    return run
+
+
 def _spans(words: Words, label: np.ndarray, doc: np.ndarray, names: np.ndarray, none: np.ndarray) -> pa.Array:
     out: list[list[dict]] = [[] for _ in none]
     if len(doc):
@@ -257,8 +338,9 @@ def _spans(words: Words, label: np.ndarray, doc: np.ndarray, names: np.ndarray,
 def identify(docs: DataFrame, model: Model, *, with_spans: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score, spans (from, to, lang).
 
-    lang_pred: the language of most letters; und where the text is null or has no
-    letter, or nothing was learned.  score: the part of the letters that it has.
+    lang_pred: the language of most letters, of equal ones the first by name; und
+    where the text is null or has no letter (Unicode category L), or nothing was
+    learned.  score: the part of the letters that it has.
     spans: code points of the runs of one language in the text.  Other columns are
     ignored, repeated rows each get a row, an empty table gives none.
     """
@@ -268,6 +350,15 @@ def identify(docs: DataFrame, model: Model, *, with_spans: bool = True) -> DataF
     return docs.select("doc_id", "text").mapInArrow(_predict(model, with_spans), schema)
 
 
+def with_language(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The rows of docs whose text has a language of at least so large a part of its letters.
+
+    Each row is judged by its own text; columns and their order stay.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(_keep(model, least_score), kinds)
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Rows that no model learns from: crc32 of the id as text is 2 modulo 4."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2

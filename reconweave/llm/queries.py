@@ -28,7 +28,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    out = langid.identify(docs, langid.train(docs.filter(~langid.held_out())), with_spans=False)
+    out = langid.identify(docs, langid.train(docs.filter(~langid.held_out())))
     return out.withColumn("held_out", langid.held_out())
 
 
