@@ -133,3 +133,64 @@ def test_benchmark_passages(spark):
     assert decontaminate.contaminated(docs, bench.limit(0), spark).count() == 0
     assert decontaminate.contaminated(docs.limit(0), bench, spark).count() == 0
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench, spark).collect()} == {3, 4, 5, 7}
+
+
+def test_hamming_index_misses_nothing_within_its_radius():
+    rng = np.random.default_rng(8)
+    items = decontaminate.prepare([(k, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 20 + k % 9))) for k in range(90)])
+    bits = np.unpackbits(items.prints.view(np.uint8).reshape(90, -1), axis=1).astype(bool)
+    number = np.array([items.lengths.tolist().index(20 + k % 9) for k in range(90)])
+    for far in (0, 1, 13, decontaminate.RADIUS, decontaminate.RADIUS + 1):
+        for _ in range(20):
+            turned = bits.copy()
+            for row in turned:
+                at = rng.choice(decontaminate.BITS, far, replace=False)
+                row[at] = ~row[at]
+            pairs, differ = decontaminate.near(items, turned, number)
+            own = {w: d for (w, i), d in zip(pairs.tolist(), differ.tolist(), strict=True) if w == i}
+            assert own == (dict.fromkeys(range(90), far) if far <= decontaminate.RADIUS else {})
+
+
+def test_edited_passages_against_all_windows():
+    """Recall of the fingerprints, against the similarity of every window of an item's length."""
+    rng = np.random.default_rng(9)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 10**6, rng.integers(20, 60)))) for k in range(60)]
+    items, found, all_ = decontaminate.prepare(rows), 0, 0
+    for k, text in rows:
+        for _ in range(6):
+            words = text.split()
+            words[rng.integers(0, len(words))] = "other"
+            column = pa.array([" ".join([*(f"a{x}" for x in rng.integers(0, 10**6, 30)), *words, *(f"b{x}" for x in rng.integers(0, 10**6, 30))])])
+            _, value = decontaminate._text_shingles(column)
+            best, m = 0.0, len(words) - decontaminate.SHINGLE + 1
+            for a in range(len(value) - m + 1):
+                own = value[a : a + m]
+                bag = {}
+                for x, w in zip(own.tolist(), items.weigh(own).tolist(), strict=True):
+                    bag[x] = bag.get(x, 0) + w
+                best = max(best, decontaminate.similarity(bag, items.bags[k]))
+            if best >= decontaminate.THRESHOLD:
+                all_ += 1
+                found += (0, k) in decontaminate.hits(items, column)
+            else:
+                assert (0, k) not in decontaminate.hits(items, column)
+    assert all_ > 100 and found >= 0.98 * all_
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    item = " ".join(f"bench{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, item, 1), (1, "other words of the same id", 2), (2, None, 3), (3, "", 4)], "doc_id long, text string, item_id long")
+    bench = spark.createDataFrame([(10, item)], "item_id long, text string")
+    assert sorted(r["item_id"] for r in decontaminate.clean(docs, bench, spark).collect()) == [2, 3, 4]
+    assert decontaminate.clean(docs.limit(0), bench, spark).columns == docs.columns
+
+
+def test_letters_decide_und(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.train(docs.filter(~langid.held_out()))
+    rows = [(0, "\u00d7 \u060c \u0967"), (1, "\U0001d400\U0001d401"), (2, "\uff76"), (3, "\u2102"), (4, "\U00010330"), (5, "x" * 300_000), (6, "ab " * 60_000)]
+    table = spark.createDataFrame([(i, t, "zz", 0.5) for i, t in rows], "doc_id long, text string, lang string, score double")
+    got = {r["doc_id"]: r for r in langid.identify(table, model).collect()}
+    assert got[0]["lang_pred"] == "und" and all(got[k]["lang_pred"] in model.languages for k in range(1, 7))
+    kept = langid.with_language(table, model, 0.5)
+    assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} >= {1, 5, 6} and 0 not in {r["doc_id"] for r in kept.collect()}
