@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from reconweave.llm import decontaminate, langid, minhash, packing, substring
 from reconweave.llm.queries import WORD_BPE, tokenizer_path
@@ -14,33 +13,42 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or with no language that half of the letters are in, go.
+    """Documents without letters, or with no language that half of their letters are in, go.
 
-    The decision is made for each text, and ids that repeat share it if their texts
-    are the same.
+    Null and empty texts have no letters.  Each row is judged by its own text, so rows
+    that repeat go or stay together; an empty table stays empty.
     """
-    model = langid.train(docs.filter(~langid.held_out()))
-    good = langid.identify(docs, model, with_spans=False).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return docs.join(good.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    return langid.with_language(docs, langid.train(docs.filter(~langid.held_out())), LEAST_LANGUAGE_SCORE)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, 0.8."""
-    return minhash.keep_one(docs, spark).select(docs.columns)
+    """One document of each near-duplicate group stays: five-word shingles, 0.8.
+
+    Of rows with one id and text one stays; texts without words all stay.
+    """
+    return minhash.keep_one(docs, spark)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages stay in the first document that has them and are cut out of the others."""
+    """Passages stay in the first document that has them and are cut out of the others.
+
+    A document of which nothing is left goes; null and empty texts stay.  Rows that
+    share an id are each cut by their own text.
+    """
     return substring.without_repeats(docs, spark)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark).select(docs.columns)
+    """Documents that hold a benchmark passage go, each row by its own text; null and empty texts stay."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents that stay, packed into sequences of 4096 tokens."""
+    """The pieces of the documents that stay, packed into sequences of 4096 tokens.
+
+    A null or empty text is a piece of the end token alone; repeated rows are
+    documents of their own; an empty table gives no pieces.
+    """
     return packing.pack_documents(docs, spark, tokenizer_path(WORD_BPE))
 
 
