@@ -11,15 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 class Scratch:
     """A folder of Parquet tables below spark.checkpoint.dir.
 
-    Where that setting is absent (tests, one machine) a temporary folder stands
-    in for it.  Tables that a returned DataFrame reads must stay; drop() removes
-    the others.
+    Where that setting is absent and Spark runs on one machine (tests) a temporary
+    folder stands in for it; on a cluster that is an error.  Tables that a returned
+    DataFrame reads must stay; drop() removes the others.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
