@@ -7,8 +7,9 @@ the same paragraphs wherever it stands, in one line or in many.  Every word is i
 paragraph; a shorter document is one.
 
 1. Equal paragraphs form a class, known by two 64-bit hashes of its lower-cased words.
-2. Each class has BANDS bands of one minimum over its five-word shingles; tuned by
-   bands_for() so that a pair at the threshold is met with a chance of RECALL.
+2. Classes that share one of SINGLE minima over their five-word shingles with another
+   go on, with BANDS bands of ROWS minima; both are tuned by bands_for() so that a
+   pair at the threshold is met with a chance of RECALL.
 3. In a bucket the members meet the least one, and are confirmed by the exact
    Jaccard similarity of their shingles.  In buckets where this leaves more than
    one group, members of different groups meet as well, in blocks.
@@ -45,12 +46,17 @@ HELD_BYTES = 8_000_000
 BESIDE = 64
 
 
-def bands_for(threshold: float, recall: float, rows: int = 1) -> int:
-    """Bands of `rows` minima that a pair at the threshold shares one of, with chance recall."""
+def bands_for(threshold: float, recall: float, rows: int) -> int:
+    """Bands of `rows` minima that a pair at the threshold shares one of, with chance recall.
+
+    More rows part paragraphs that share only a common phrase: of n that have it, each
+    half of it, 2**-rows are in one bucket.
+    """
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-BANDS = bands_for(PERCENT / 100, RECALL)
+ROWS = 3
+SINGLE, BANDS = bands_for(PERCENT / 100, RECALL, 1), bands_for(PERCENT / 100, RECALL, ROWS)
 
 
 def paragraphs(column: pa.StringArray) -> tuple[np.ndarray, ...]:
@@ -78,8 +84,8 @@ def paragraphs(column: pa.StringArray) -> tuple[np.ndarray, ...]:
     return words, at, first, np.append(first[1:], len(words)), starts, ends
 
 
-def _minima(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """BANDS keys of each paragraph; one of fewer than SHINGLE words is a shingle."""
+def _minima(words: np.ndarray, first: np.ndarray, end: np.ndarray, bands: int, rows: int, skip: int) -> np.ndarray:
+    """Keys of `bands` bands of each paragraph, by the hash functions after `skip`; under SHINGLE words are one shingle."""
     n = np.maximum(end - first - SHINGLE + 1, 1)
     at = np.cumsum(n) - n
     where = np.repeat(first - at, n) + np.arange(n.sum())
@@ -88,7 +94,45 @@ def _minima(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray
     for k in range(SHINGLE):
         value += np.where(where + k <= last, words[np.minimum(where + k, last)] * _SHINGLE[k], np.uint64(0))
     x = mix(value) & np.uint64(0xFFFFFFFF)
-    return np.stack([mix(np.minimum.reduceat(x * _A[k] + _B[k], at) + np.uint64(k)) for k in range(BANDS)], axis=1)
+    out = np.empty((len(first), bands), np.uint64)
+    for k in range(bands):
+        key = np.full(len(first), k, np.uint64)
+        for j in range(skip + k * rows, skip + (k + 1) * rows):
+            key = mix(key + np.minimum.reduceat(x * _A[j] + _B[j], at))
+        out[:, k] = key
+    return out
+
+
+def _hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the words of each paragraph; paragraphs cover all words, in turn."""
+    nth = (np.arange(len(words)) - np.repeat(first, end - first)).astype(np.uint64)
+    d1 = np.add.reduceat(mix(words + nth * _SHINGLE[9]), first)
+    return d1.view(np.int64), np.add.reduceat(mix((words ^ _SHINGLE[11]) + nth * _SHINGLE[10]), first).view(np.int64)
+
+
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes and the text of each paragraph."""
+    for batch in batches:
+        column = texts(batch.column("text"))
+        for a, b in slices(column):
+            part = column.slice(a, b - a)
+            words, _, first, end, starts, ends = paragraphs(part)
+            if len(first):
+                data = buffers(part)[0].tobytes()
+                text = [data[i:j].decode() for i, j in zip(starts[first].tolist(), ends[end - 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _hashes(words, first, end)), pa.array(text, pa.string())], names=["hash", "check", "text"])
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The BANDS keys of each paragraph by its text."""
+    for batch in batches:
+        column = texts(batch.column("text"))
+        for a, b in slices(column):
+            data, offsets = buffers(column.slice(a, b - a))
+            starts, ends = spans(data, offsets)
+            at = counts_in(offsets, starts)
+            keys = _minima(span_hashes(data, starts, ends), at[:-1], at[1:], BANDS, ROWS, SINGLE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("hash").slice(a, b - a), pa.array(list(keys), pa.list_(pa.int64()))], names=["hash", "bands"])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,19 +144,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(first):
                 continue
             doc = np.searchsorted(at, first, "right") - 1
-            place = first - at[doc]
-            size = end - first
-            heads = np.cumsum(size) - size  # paragraphs cover all words, in turn
-            nth = (np.arange(len(words)) - np.repeat(first, size)).astype(np.uint64)
-            d1 = np.add.reduceat(mix(words + nth * _SHINGLE[9]), heads)
-            d2 = np.add.reduceat(mix((words ^ _SHINGLE[11]) + nth * _SHINGLE[10]), heads)
-            data = buffers(part)[0].tobytes()
-            text = [data[i:j].decode() for i, j in zip(starts[first].tolist(), ends[end - 1].tolist(), strict=True)]
-            keys = _minima(words, first, end).view(np.int64)
+            size, (d1, d2) = end - first, _hashes(words, first, end)
+            keys = _minima(words, first, end, SINGLE, 1, 0).view(np.int64)
             own = [batch.column(c).slice(a, b - a).take(pa.array(doc)) for c in ("doc_id", "th")]
             yield pa.RecordBatch.from_arrays(
-                [own[0].cast(pa.int64()), own[1], pa.array(np.diff(at)[doc]), pa.array(place), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(list(keys), pa.list_(pa.int64())), pa.array(text, pa.string())],
-                names=["doc_id", "th", "of", "word", "n_words", "hash", "check", "bands", "text"],
+                [own[0].cast(pa.int64()), own[1], pa.array(np.diff(at)[doc]), pa.array(first - at[doc]), pa.array(size), pa.array(d1), pa.array(d2), pa.array(list(keys), pa.list_(pa.int64()))],
+                names=["doc_id", "th", "of", "word", "n_words", "hash", "check", "bands"],
             )
 
 
@@ -256,21 +293,26 @@ def _passages(rows: DataFrame) -> DataFrame:
 
 def _cuts(docs: DataFrame, spark: SparkSession, s: Scratch) -> DataFrame:
     """repeats() with th, the hash of the row's text."""
-    kinds = "doc_id long, th long, of long, word long, n_words long, hash long, check long, bands array<long>, text string"
+    kinds = "doc_id long, th long, of long, word long, n_words long, hash long, check long, bands array<long>"
     made = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_features, kinds)
     f = s.write(made, "paragraphs")
     clash = f.groupBy("hash").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").select("hash")
     clash = s.write(clash, "clash")
+    written = docs.select("text").mapInArrow(_written, "hash long, check long, text string")
     if not clash.isEmpty():  # other words with the same hash: about one pair in 2**64
-        own = f.join(clash.withColumn("_other", F.lit(True)), "hash", "left")
-        f = s.write(own.withColumn("hash", F.when(F.col("_other"), F.xxhash64("hash", "check")).otherwise(F.col("hash"))).select(f.columns), "paragraphs-apart")
+        apart = F.when(F.col("_other"), F.xxhash64("hash", "check")).otherwise(F.col("hash"))
+        f, written = (x.join(clash.withColumn("_other", F.lit(True)), "hash", "left").withColumn("hash", apart).select(x.columns) for x in (f, written))
+        f = s.write(f, "paragraphs-apart")
     classes = f.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
-    bands = f.select("hash", F.explode("bands").alias("bucket")).repartition("bucket")
+    single = f.select("hash", F.explode("bands").alias("bucket")).repartition("bucket")
+    shared = single.groupBy("bucket").agg(F.min("hash").alias("u"), F.max("hash").alias("w")).filter("u <> w").select("bucket")
+    needed = s.write(single.join(shared, "bucket").select("hash").distinct(), "needed")
+    wanted = s.write(written.select("hash", "text").join(needed, "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text")), "wanted")
+    bands = wanted.mapInArrow(_banded, "hash long, bands array<long>").select("hash", F.explode("bands").alias("bucket"))
+    bands = s.write(bands, "bands")
     shared = bands.groupBy("bucket").agg(F.min("hash").alias("u"), F.max("hash").alias("w")).filter("u <> w").drop("w")
-    members = s.write(bands.join(shared, "bucket").select("bucket", "hash", "u").distinct(), "members")
+    members = s.write(bands.join(shared, "bucket"), "members")
     pairs = s.write(members.filter("hash <> u").select("u", F.col("hash").alias("v")).distinct(), "pairs")
-    needed = members.select("hash").distinct()
-    wanted = s.write(f.select("hash", "text").join(needed, "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text")), "wanted")
     both = pairs.join(wanted.select(F.col("hash").alias("u"), F.col("text").alias("text_a")), "u").join(wanted.select(F.col("hash").alias("v"), F.col("text").alias("text_b")), "v")
     star = s.write(both.select("u", "v", "text_a", "text_b").mapInArrow(_exact, "u long, v long"), "star")
     label = star.groupBy(F.col("v").alias("hash")).agg(F.min("u").alias("up"))
@@ -281,7 +323,7 @@ def _cuts(docs: DataFrame, spark: SparkSession, s: Scratch) -> DataFrame:
     met = in_blocks(rest.drop("n_members").join(wanted, "hash"), "bucket", sizes, "hash")
     met = met.select("bucket", "p", "q", "hash", "label", "text").mapInArrow(_meet, "u long, v long")
     joined = s.write(components(star.unionByName(met), s, "links").select(F.col("node").alias("hash"), "component"), "joined")
-    s.drop("members", "pairs", "wanted", "star", "rest")
+    s.drop("needed", "bands", "members", "pairs", "wanted", "star", "rest")
     of = classes.join(joined, "hash", "left").select("hash", "doc_id", "last", F.coalesce("component", "hash").alias("component_id"))
     of = s.write(of, "classes")
     many = of.groupBy("component_id").agg(F.min("doc_id").alias("first_doc_id"), F.max("last").alias("last_doc_id")).filter("first_doc_id <> last_doc_id")

@@ -25,7 +25,9 @@ def linked(names, links):
 def paragraphs_of(rows):
     """One row of _features for each paragraph of the texts."""
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0 for _ in rows]), pa.array([r[1] for r in rows])], names=["doc_id", "th", "text"])
-    return [r for b in substring._features([batch]) for r in b.to_pylist()]
+    text = {r["hash"]: r["text"] for b in substring._written([batch]) for r in b.to_pylist()}
+    bands = {r["hash"]: r["bands"] for w in substring._written([batch]) for b in substring._banded([w]) for r in b.to_pylist()}
+    return [r | {"text": text[r["hash"]], "bands": bands[r["hash"]]} for b in substring._features([batch]) for r in b.to_pylist()]
 
 
 def test_members_of_a_bucket_meet_each_other(spark, monkeypatch):
