@@ -49,6 +49,15 @@ class Gst:
     )
 
 
+# Patterns that notes are read by.
+NOTE_CITATIONS = (r"(?i)\bcredit\s*note\b", r"(?i)\bc\.?\s?n\.?\s*(?:no|number|#|:)")
+NOTE_REFERENCE = r"(?i)(?:no\.?|number|#|:)?\s*[.:\-]?\s*((?=[\w./\-]*\d)[A-Za-z0-9][\w./\-]*)"
+NOTE_TRAILING = r"[-./\s]+$"
+NOTE_PERIODS = (r"(?<=\w)[-/\s]?[0-9]{2}-[0-9]{2}$", r"(?<=\w)[-/\s]?[0-9]{4}-[0-9]{2}$")
+NOTE_SEPARATORS = r"[-/.\s]"
+CREDIT_NUMBER, DEBIT_NUMBER = r"(?i)^CN\s*[-/]", r"(?i)^DN\s*[-/]"
+
+
 @dataclass(frozen=True)
 class Notes:
     exact: float = 98.0
@@ -60,6 +69,7 @@ class Notes:
     missing_gstin_penalty: float = -8.0
     days: int = 5
     guard_days: int = 180
+    require_kind: bool = True
 
 
 @dataclass(frozen=True)

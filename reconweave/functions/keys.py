@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reconweave.config import CREDIT_NUMBER, NOTE_CITATIONS, NOTE_PERIODS, NOTE_REFERENCE, NOTE_SEPARATORS, NOTE_TRAILING
+
 # Texts that mean "missing" and the two structural patterns.
 MISSING = ("", "NAN", "NONE", "NAT", "NULL", "0", "0.0")
 GSTIN = "^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z][A-Z][0-9A-Z]$"
@@ -84,32 +86,37 @@ def gstin_check_character(first14: Column) -> Column:
 
 def note_key(reference: Column) -> Column:
     """A note's reference as compared: a year span goes only from its end."""
-    t = F.regexp_replace(F.upper(F.trim(F.coalesce(reference, F.lit("")))), r"[-./\s]+$", "")
-    t = F.regexp_replace(t, r"(?<=\w)[-/\s]?[0-9]{2}-[0-9]{2}$", "")
-    t = F.regexp_replace(t, r"(?<=\w)[-/\s]?[0-9]{4}-[0-9]{2}$", "")
-    return unpad(F.regexp_replace(t, r"[-/.\s]", ""))
+    t = F.regexp_replace(F.upper(F.trim(F.coalesce(reference, F.lit("")))), NOTE_TRAILING, "")
+    for p in NOTE_PERIODS:
+        t = F.regexp_replace(t, p, "")
+    return unpad(F.regexp_replace(t, NOTE_SEPARATORS, ""))
+
+
+def _citations(text: Column) -> Column:
+    """Places where a text cites a credit note, one for each citation pattern that it has."""
+    return F.filter(F.array(*(F.regexp_instr(text, F.lit(p)) for p in NOTE_CITATIONS)), lambda i: i > 0)
 
 
-# How a narration cites a credit note, and what marks a debit or credit note number.
-CITATIONS = (r"(?i)\bcredit\s*note\b", r"(?i)\bc\.?\s?n\.?\s*(?:no|number|#|:)")
-CREDIT_NUMBER, DEBIT_NUMBER = r"(?i)^CN\s*[-/]", r"(?i)^DN\s*[-/]"
+def citation_count(narration: Column) -> Column:
+    """How often a text cites a credit note."""
+    return F.regexp_count(F.coalesce(narration, F.lit("")), F.lit("|".join(f"(?:{p})" for p in NOTE_CITATIONS)))
 
 
 def note_reference(narration: Column) -> Column:
     """The first token with a digit after the first citation; null without a citation."""
     text = F.coalesce(narration, F.lit(""))
-    at = F.array_min(F.filter(F.array(*(F.regexp_instr(text, F.lit(p)) for p in CITATIONS)), lambda i: i > 0))
+    at = F.array_min(_citations(text))
     rest = F.substring(text, at, F.length(text))
-    for p in CITATIONS:
+    for p in NOTE_CITATIONS:
         rest = F.regexp_replace(rest, f"^(?:{p})", "")
-    token = F.regexp_extract(rest, r"(?i)(?:no\.?|number|#|:)?\s*[.:\-]?\s*((?=[\w./\-]*[0-9])[A-Za-z0-9][\w./\-]*)", 1)
-    return F.when(at.isNotNull() & (token != ""), F.regexp_replace(token, r"[-./\s]+$", ""))
+    token = F.regexp_extract(rest, NOTE_REFERENCE, 1)
+    return F.when(at.isNotNull() & (token != ""), F.regexp_replace(token, NOTE_TRAILING, ""))
 
 
 def note_kind(explicit: Column, number: Column, narration: Column, value: Column) -> Column:
     """credit or debit: a word, a citation, the number's mark, the sign; else debit."""
     word, text = F.lower(F.coalesce(explicit, F.lit(""))), F.coalesce(narration, F.lit(""))
-    cited = text.rlike(CITATIONS[0]) | text.rlike(CITATIONS[1])
+    cited = F.size(_citations(text)) > 0
     credit = word.contains("credit") | cited | F.coalesce(number.rlike(CREDIT_NUMBER), F.lit(False))
     return F.when(credit, "credit").when(word.contains("debit"), "debit").when(F.coalesce(value < 0, F.lit(False)), "credit").otherwise("debit")
 

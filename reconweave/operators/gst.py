@@ -87,18 +87,31 @@ def sided(frame: DataFrame, prefix: str, ident: str) -> DataFrame:
 
 
 def exact_run(books: DataFrame, portal: DataFrame, c: Gst) -> DataFrame:
-    """The exact pass with k-th pairing, residuals, verdicts and value at risk: bid, pid, books, portal, ..."""
-    b, p = keyed(books, c), keyed(portal, c)
-    pairs = ordinal(b, p, ["gstin", "norm"])
-    left, right = sided(b, "b_", "bid"), sided(p, "p_", "pid")
-    matched = pairs.join(left, "bid").join(right, "pid").select("bid", "pid", _record("b_").alias("books"), _record("p_").alias("portal"), F.when(F.col("b_fy") == F.col("p_fy"), c.exact).otherwise(c.variant).alias("points"))
-    matched = classify.compare(matched, c)
-    copies = duplicate_keys(books, c)
-    none_p, none_b = (F.lit(None).cast(matched.schema[x].dataType) for x in ("portal", "books"))
-    only_b = left.join(pairs, "bid", "left_anti").join(copies.select(F.col("gstin").alias("b_gstin"), F.col("norm").alias("b_norm"), "copies"), ["b_gstin", "b_norm"], "left")
-    only_b = only_b.select("bid", F.lit(None).cast("long").alias("pid"), _record("b_").alias("books"), none_p.alias("portal"), F.lit(0.0).alias("points"), F.when(F.col("copies") > 1, "Duplicate in Books").alias("difference_type"), F.lit("Not in Portal").alias("classification"))
-    only_p = right.join(pairs, "pid", "left_anti").select(F.lit(None).cast("long").alias("bid"), "pid", none_b.alias("books"), _record("p_").alias("portal"), F.lit(0.0).alias("points"), F.lit(None).cast("string").alias("difference_type"), F.lit("Not in Books").alias("classification"))
-    out = classify.value_at_risk(matched.unionByName(only_b).unionByName(only_p))
+    """The exact pass with k-th pairing, residuals, verdicts and value at risk: bid, pid, books, portal, ...
+
+    Both sides are dealt once by (gstin, norm); ranks, copies and pairs all follow
+    from that partitioning.  A row without a key has one of its own and stays alone.
+    """
+
+    def side(frame: DataFrame, ident: str, mark: str) -> DataFrame:
+        known = F.col("gstin").isNotNull() & F.col("norm").isNotNull()
+        own = F.concat(F.lit(mark), F.col(ident).cast("string"))
+        record = F.struct(*(F.col(f) for f in FIELDS)).alias("record")
+        return keyed(frame, c).select(F.lit(mark).alias("side"), F.col(ident).alias("id"), F.when(known, F.col("gstin")).alias("_g"), F.when(known, F.col("norm")).otherwise(own).alias("_n"), "fy", record)
+
+    rows = side(books, "bid", "b").unionByName(side(portal, "pid", "p")).repartition("_g", "_n")
+    key = Window.partitionBy("_g", "_n", "side")
+    rows = rows.withColumn("_k", F.row_number().over(key.orderBy("id"))).withColumn("copies", F.count(F.lit(1)).over(key))
+    of = lambda mark: F.max(F.when(F.col("side") == mark, F.struct("id", "fy", "copies", "record")))
+    out = rows.groupBy("_g", "_n", "_k").agg(of("b").alias("b"), of("p").alias("p"))
+    both = F.col("bid").isNotNull() & F.col("pid").isNotNull()
+    points = F.when(both, F.when(F.col("b.fy") == F.col("p.fy"), c.exact).otherwise(c.variant)).otherwise(0.0)
+    out = out.withColumns({"bid": F.col("b.id"), "pid": F.col("p.id")}).withColumn("points", points)
+    out = out.select("bid", "pid", F.col("b.record").alias("books"), F.col("p.record").alias("portal"), "points", F.col("b.copies").alias("copies"))
+    lone = F.when(F.col("bid").isNull(), "Not in Books").when(F.col("pid").isNull(), "Not in Portal")
+    doubled = F.when(F.col("pid").isNull() & (F.col("copies") > 1), "Duplicate in Books")
+    out = classify.compare(out, c).withColumns({"classification": F.coalesce(lone, F.col("classification")), "difference_type": F.when(both, F.col("difference_type")).otherwise(doubled)})
+    out = classify.value_at_risk(out.drop("copies"))
     penalty = F.when(malformed_gstin(F.coalesce(F.col("books.gstin"), F.col("portal.gstin"))), c.invalid_gstin_penalty).otherwise(0.0)
     out = out.withColumn("confidence_score", F.when(F.col("points") > 0, score(F.col("points") + penalty)).otherwise(0.0)).drop("points")
     return out.withColumn("confidence_band", band(F.col("confidence_score"), c.high, c.medium))
@@ -127,7 +140,7 @@ def match(books: DataFrame, portal: DataFrame, c: Gst, stages: Stages, adjacent:
 
     def exact(x: DataFrame, y: DataFrame) -> DataFrame:
         keys = x.join(y, same & (F.col("b_norm") == F.col("p_norm"))).withColumn("points", F.when(F.col("b_fy") == F.col("p_fy"), c.exact).otherwise(c.variant))
-        u, v = (f.withColumn("_one", _unique_core(f, k)).filter("_one").drop("_one") for f, k in ((x, "b_"), (y, "p_")))
+        u, v = (f.filter(F.col(f"{k}core").isNotNull()).withColumn("_one", _unique_core(f, k)).filter("_one").drop("_one") for f, k in ((x, "b_"), (y, "p_")))
         cores = u.join(v, same & (F.col("b_core") == F.col("p_core")) & ~F.col("b_norm").eqNullSafe(F.col("p_norm"))).withColumn("points", F.lit(c.variant))
         return keys.unionByName(cores)
 

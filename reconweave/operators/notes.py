@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reconweave.config import Notes, Tolerance
-from reconweave.functions.keys import CREDIT_NUMBER, has_gstin, malformed_gstin, note_key, note_kind, note_reference
+from reconweave.config import CREDIT_NUMBER, Notes, Tolerance
+from reconweave.functions.keys import has_gstin, malformed_gstin, note_key, note_kind, note_reference
 from reconweave.functions.predicates import band, in_window, proximity, score, within
 from reconweave.operators.assign import ambiguous, serial
+from reconweave.operators.blocking import band_join
 from reconweave.stages import Stages
 
 
+#: Characters of a key that pairs are looked up by; shorter keys meet all of their GSTIN.
+PREFIX = 4
+
+
 def prepare(frame: DataFrame) -> DataFrame:
     """nid, gstin, note_reference, note_key, note_kind, note_date and absolute money.
 
@@ -28,11 +33,31 @@ def gstins_agree(a: Column, b: Column) -> Column:
     return F.when(has_gstin(a) & has_gstin(b), a == b).otherwise(has_gstin(a) | has_gstin(b))
 
 
+def _containing(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs of one GSTIN of which one key begins at some place of the other: each key meets the suffixes that begin with it.
+
+    Every key is cut to its first PREFIX characters; a key inside another one is the
+    beginning of a suffix of it, so the two share a (GSTIN, beginning) at least once.
+    """
+    starts = lambda key: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.substring(key, i, F.lit(PREFIX))))
+    b_cut, p_cut = F.substring("b_note_key", 1, PREFIX), F.substring("p_note_key", 1, PREFIX)
+    short = F.length("b_note_key") < PREFIX
+    long_b = x.filter(~short).select("*", F.explode(starts(F.col("b_note_key"))).alias("_at"))
+    long_p = y.filter(F.length("p_note_key") >= PREFIX).select("*", F.explode(starts(F.col("p_note_key"))).alias("_at"))
+    mine, theirs = x.filter(~short).withColumn("_at", b_cut), y.filter(F.length("p_note_key") >= PREFIX).withColumn("_at", p_cut)
+    key = lambda f, c: f.withColumn("_g", F.col(c))
+    met = key(long_b, "b_gstin").join(key(theirs, "p_gstin"), ["_g", "_at"]).unionByName(key(mine, "b_gstin").join(key(long_p, "p_gstin"), ["_g", "_at"]))
+    few = key(x.filter(short), "b_gstin").join(key(y, "p_gstin"), "_g").unionByName(key(x.filter(~short), "b_gstin").join(key(y.filter(F.length("p_note_key") < PREFIX), "p_gstin"), "_g"))
+    return met.drop("_g", "_at").unionByName(few.drop("_g")).distinct()
+
+
 def match(books: DataFrame, portal: DataFrame, c: Notes, t: Tolerance, stages: Stages) -> DataFrame:
     """bid, pid, pass_name, confidence_score, confidence_band, classification of prepared notes.
 
     Passes: equal reference; one reference inside the other for one GSTIN; GSTIN with
     window and value.  All keep the date guard; a missing GSTIN also needs the value.
+    A pair of a credit and a debit note is a Document Type Mismatch, unless
+    c.require_kind is off.
     """
     kept = ("gstin", "note_key", "note_kind", "note_date", "taxable_value", "total_tax", "invoice_value")
     b = stages(books.select(F.col("nid").alias("bid"), *(F.col(k).alias(f"b_{k}") for k in kept)))
@@ -48,8 +73,10 @@ def match(books: DataFrame, portal: DataFrame, c: Notes, t: Tolerance, stages: S
         x, y = (b, p) if done is None else (b.join(done, "bid", "left_anti"), p.join(done, "pid", "left_anti"))
         if name == "reference":
             met = x.join(y, F.col("b_note_key") == F.col("p_note_key")).filter(fits)
+        elif name == "containment":
+            met = _containing(x, y).filter((F.col("b_gstin") == F.col("p_gstin")) & both & guard & inside & (F.col("b_note_key") != F.col("p_note_key")))
         else:
-            met = x.join(y, F.col("b_gstin") == F.col("p_gstin")).filter(both & guard & (inside & (F.col("b_note_key") != F.col("p_note_key")) if name == "containment" else value & window))
+            met = band_join(x.withColumn("_g", F.col("b_gstin")), y.withColumn("_g", F.col("p_gstin")), "b_invoice_value", "p_invoice_value", t, ["_g"]).drop("_g").filter(both & guard & value & window)
         edges = stages(met.select("bid", "pid", near.alias("near")))
         rank = F.round(F.lit(baseline) * F.col("near"), 4)
         got = ambiguous(edges, serial(edges, stages, rank), rank, 5.0).select("bid", "pid", "ambiguous", F.lit(name).alias("pass_name"), F.lit(baseline).alias("points"))
@@ -57,9 +84,11 @@ def match(books: DataFrame, portal: DataFrame, c: Notes, t: Tolerance, stages: S
     out = done.join(b, "bid").join(p, "pid")
     penalty = F.when(F.col("ambiguous"), c.ambiguity_penalty).otherwise(0.0) + F.when(~both, c.missing_gstin_penalty).otherwise(0.0) + F.when(malformed_gstin(F.col("b_gstin")), c.invalid_gstin_penalty).otherwise(0.0)
     points = score(F.col("points") + penalty)
-    names = ["bid", "pid", "pass_name", "confidence_score", "confidence_band", "classification"]
-    out = out.withColumns({"confidence_score": points, "confidence_band": F.when(F.col("ambiguous") | ~both, "Low").otherwise(band(points, 92, 65)), "classification": F.when(value, "Matched").otherwise("Amount Difference")}).select(names)
-    rest = {"pass_name": F.lit("residual"), "confidence_score": F.lit(0.0), "confidence_band": F.lit("Low")}
+    names = ["bid", "pid", "pass_name", "confidence_score", "confidence_band", "classification", "difference_type"]
+    other_kind = F.lit(c.require_kind) & (F.col("b_note_kind") != F.col("p_note_kind"))
+    gap = F.when(~within(F.col("b_taxable_value"), F.col("p_taxable_value"), t), "Taxable Value Difference").when(~within(F.col("b_total_tax"), F.col("p_total_tax"), t), "Tax Amount Difference").otherwise("Unexplained")
+    out = out.withColumns({"confidence_score": points, "confidence_band": F.when(F.col("ambiguous") | ~both, "Low").otherwise(band(points, 92, 65)), "classification": F.when(value & ~F.coalesce(other_kind, F.lit(False)), "Matched").otherwise("Amount Difference"), "difference_type": F.when(other_kind, "Document Type Mismatch").when(~value, gap)}).select(names)
+    rest = {"pass_name": F.lit("residual"), "difference_type": F.lit(None).cast("string"), "confidence_score": F.lit(0.0), "confidence_band": F.lit("Low")}
     only_b = b.join(done, "bid", "left_anti").withColumns(rest | {"pid": F.lit(None).cast("long"), "classification": F.lit("Not in Portal")})
     only_p = p.join(done, "pid", "left_anti").withColumns(rest | {"bid": F.lit(None).cast("long"), "classification": F.lit("Not in Books")})
     return out.unionByName(only_b.select(names)).unionByName(only_p.select(names))

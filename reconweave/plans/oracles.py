@@ -181,7 +181,10 @@ f AS (SELECT bid, 'rate' AS check_name, CASE WHEN tax < near.expected THEN 'Shor
 UNION ALL SELECT bid, 'missing_pan', 'Rate Mismatch' FROM r WHERE pan = '' AND abs(tax - amount * 20 / 100) > 2
 UNION ALL SELECT bid, 'single_threshold', 'Short Deduction' FROM r WHERE single_threshold > 0 AND amount > single_threshold AND tax = 0)
 SELECT check_name, difference_type, count(*) AS rows, count(DISTINCT bid) AS books_rows FROM f GROUP BY ALL""",
-    "tds_threshold_breaches": f"SELECT pan, section, sum(amount_paid_credited) AS paid, CAST(0 AS DECIMAL(18,2)) AS tax, count(*) AS rows FROM ({derive.TDS_BOOKS}) b JOIN {_RATE_ROWS} USING (section) WHERE pan <> '' AND (tax_deducted = 0 OR bid % 5 = 0) AND annual_threshold > 0 GROUP BY pan, section, annual_threshold HAVING sum(amount_paid_credited) > annual_threshold",
+    "tds_threshold_breaches": f"""
+SELECT pan, section, sum(amount_paid_credited) AS paid, sum(tax) AS tax, count(*) AS rows
+FROM (SELECT *, CAST(CASE WHEN pan <> '' AND CAST(substring(pan, 6, 4) AS INTEGER) % 3 = 1 THEN 0 ELSE tax_deducted END AS DECIMAL(18,2)) AS tax FROM ({derive.TDS_BOOKS}) q) b JOIN {_RATE_ROWS} USING (section)
+WHERE pan <> '' AND annual_threshold > 0 GROUP BY pan, section, annual_threshold HAVING sum(amount_paid_credited) > annual_threshold AND sum(tax) = 0""",
     "tds_rate_as_of": f"""
 WITH r(section, f, t, rate) AS (VALUES ('194C', DATE '1990-01-01', DATE '1997-12-31', 1.0), ('194C', DATE '1998-01-01', NULL, 2.0), ('194J', DATE '1996-04-01', NULL, 10.0), ('194H', DATE '1990-01-01', DATE '1999-12-31', 5.0))
 SELECT b.section, b.canonical, r.rate, count(*) AS rows, sum(amount_paid_credited) AS paid FROM (SELECT *, CASE section WHEN '194A' THEN '194J' ELSE section END AS canonical FROM ({derive.TDS_BOOKS}) x) b
@@ -259,7 +262,7 @@ FROM (SELECT *, lower('pass ' || coalesce(difference_type, 'duplicate')) AS d FR
 FROM (VALUES ('recall Matched', 0.95), ('recall Not in Books', 0.5), ('recall Amount Difference', NULL)) t(metric, threshold) LEFT JOIN (SELECT 'recall ' || class AS metric, recall AS value FROM ({_PR}) p) m ON t.metric = m.metric""",
     "amount_proximity": f"""SELECT CAST(floor(greatest(0.0, 1 - CAST(abs(b_invoice_value - p_invoice_value) AS DOUBLE) / greatest(10.0, CAST(greatest(abs(b_invoice_value), abs(p_invoice_value)) AS DOUBLE) * CAST(0.01 AS DOUBLE))) * 10) AS INT) AS tenth, count(*) AS pairs FROM ({RUN}) r WHERE bid IS NOT NULL AND pid IS NOT NULL GROUP BY 1""",
     "document_fields": f"""
-WITH t AS (SELECT bid, bid % 2 = 0 AS plain, gstin, invoice_number, strftime(invoice_date, '%d/%m/%Y') AS d, CAST(invoice_value AS VARCHAR) AS v FROM ({derive.BOOKS}) b WHERE bid % 7 = 1),
+WITH t AS (SELECT bid, bid % 2 = 0 AS plain, gstin, invoice_number, strftime(invoice_date, '%d/%m/%Y') AS d, CAST(invoice_value AS VARCHAR) AS v FROM ({derive.BOOKS}) b),
 f AS (SELECT 'gstin' AS field, 'auto' AS state, gstin AS value FROM t UNION ALL SELECT 'invoice_number', 'auto', invoice_number FROM t UNION ALL SELECT 'invoice_date', 'auto', d FROM t
 UNION ALL SELECT 'pan', 'not present', NULL FROM t UNION ALL SELECT 'total', 'review', v FROM t)
 SELECT field, state, count(*) AS documents, max(value) AS greatest FROM f GROUP BY ALL""",

@@ -36,7 +36,7 @@ def reason(c: Gst) -> Column:
     gap = lambda f: F.concat(F.lit(f" ({f.replace('_', ' ')}: books "), money_indian(zero(b[f])), F.lit(", portal "), money_indian(zero(p[f])), F.lit(")"))
     tax = F.concat(F.lit(" (tax: books "), money_indian(tax_total(b)), F.lit(", portal "), money_indian(tax_total(p)), F.lit(")"))
     days = F.datediff(p["invoice_date"], b["invoice_date"])
-    dates = F.when((kind == "Unexplained") & (days != 0), F.concat(F.lit("; dates differ by "), F.abs(days).cast("string"), F.lit(" days")))
+    dates = F.when((kind == "Unexplained") & (days != 0), F.concat(F.lit("dates differ by "), F.abs(days).cast("string"), F.lit(" days")))
     detail = (
         F.when(cls == "Matched", "taxable value and all tax heads agree")
         .when(kind == "Taxable Value Difference", F.concat(kind, gap("taxable_value")))

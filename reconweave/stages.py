@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 class Stages:
     """Writes a step's rows below spark.checkpoint.dir and reads them back.
 
-    Plans stay short in iterations, and a lost executor costs one step.  A folder of
-    this machine stands in only where the setting is absent.
+    Plans stay short in iterations, and a lost executor costs one step.  Where the
+    setting is absent and Spark runs on one machine a temporary folder stands in; on
+    a cluster that is an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0

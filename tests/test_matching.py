@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,40 @@ def test_pools_use_up_books_rows(spark):
     bids = [r["bid"] for r in got if r["bid"] is not None]
     assert sorted(bids) == sorted(set(bids)) and len(bids) == b.count()
     assert sum(r["pid"] is not None for r in got) == p.filter("document_type in ('Invoice', 'Reverse Charge', 'Import')").count()
+
+
+def test_deductee_rows_of_adjacent_quarters(spark):
+    """One row and one group paid in March are credited in April."""
+    cols = "pan string, deductee_name string, section string, amount_paid_credited double, tax_deducted decimal(18,2), deposit_date date, challan_number string"
+    row = lambda pan, section, tax, day: (pan, "Vendor", section, 0.0, tax, dt.date.fromisoformat(day), "")
+    d = Decimal
+    b = [row("AAAPB1111X", "194C", d(2000), "2025-03-28"), row("AAAPB2222Y", "194J", d(2000), "2025-03-30"), row("AAAPB2222Y", "194J", d(3000), "2025-03-31")]
+    p = [row("AAAPB1111X", "194C", d(2000), "2025-04-05"), row("AAAPB2222Y", "194J", d(5000), "2025-04-10")]
+    books, portal = spark.createDataFrame([(i, *r) for i, r in enumerate(b)], f"bid long, {cols}"), spark.createDataFrame([(i, *r) for i, r in enumerate(p)], f"pid long, {cols}")
+    got = {r["bid"]: r for r in tds.match_deductee(books, portal, Config().tds, Stages(spark, "t")).collect()}
+    assert set(got) == {0, 1} and all(r["difference_type"] == "Timing Difference" and r["classification"] == "Matched" for r in got.values())
+    assert got[0]["pass_name"] == "adjacent_quarter" and got[1]["pass_name"] == "adjacent_group" and (got[0]["pid"], got[1]["pid"]) == (0, 1)
+    off = Config().tds.__class__(quarter_boundary=False)
+    rest = tds.match_deductee(books, portal, off, Stages(spark, "t")).collect()
+    assert {r["classification"] for r in rest} == {"Not in Portal", "Not in Books"} or all(r["pass_name"] in ("fuzzy", "residual") for r in rest)
+
+
+def test_a_credit_note_is_no_debit_note(spark):
+    cols = "nid long, gstin string, note_type string, voucher_number string, narration string, note_date date, taxable_value double, total_tax double, invoice_value double"
+    side = lambda kind: notes.prepare(spark.createDataFrame([(1, "27ABCDE1234F1Z5", kind, "V1", None, dt.date(2025, 8, 1), 100.0, 18.0, 118.0)], cols).withColumn("narration", F.lit(None).cast("string"))).withColumn("note_key", F.lit("N1"))
+    c = Config()
+    got = notes.match(side("Credit Note"), side("Debit Note"), c.notes, c.gst.tolerance, Stages(spark, "t")).collect()
+    assert [(r["classification"], r["difference_type"]) for r in got] == [("Amount Difference", "Document Type Mismatch")]
+    lenient = c.notes.__class__(require_kind=False)
+    got = notes.match(side("Credit Note"), side("Debit Note"), lenient, c.gst.tolerance, Stages(spark, "t")).collect()
+    assert [(r["classification"], r["difference_type"]) for r in got] == [("Matched", None)]
+
+
+def test_containment_meets_every_pair_of_one_gstin(spark):
+    rng = random.Random(5)
+    keys = ["".join(rng.choice("AB1") for _ in range(rng.randint(1, 8))) for _ in range(60)]
+    b = spark.createDataFrame([(i, "g", k) for i, k in enumerate(keys)], "bid long, b_gstin string, b_note_key string")
+    p = spark.createDataFrame([(i, "g", k) for i, k in enumerate(reversed(keys))], "pid long, p_gstin string, p_note_key string")
+    met = [(r["bid"], r["pid"]) for r in notes._containing(b, p).collect()]
+    want = {(i, j) for i, x in enumerate(keys) for j, y in enumerate(reversed(keys)) if x in y or y in x}
+    assert want <= set(met) and len(met) == len(set(met))
