@@ -241,12 +241,12 @@ def derived_tax(spark: SparkSession, sf: str) -> DataFrame:
     odd = F.col("l_orderkey") % 2 == 1
     rows = l.select("l_orderkey", "l_linenumber", "taxable_value", F.lit(None).cast("double").alias("total_tax"), F.when(odd, F.col("taxable_value").cast("double") * F.col("r") / 100).alias("cgst"), F.when(~odd, F.col("r").cast("double")).alias("cgst_rate"), F.lit(0.0).alias("igst"), F.lit(0.0).alias("igst_rate"), F.lit(None).cast("double").alias("sgst"), F.col("r").cast("double").alias("sgst_rate"))
     out = review.derived_tax(rows.withColumn("taxable_value", F.col("taxable_value").cast("double")))
-    return out.select("l_orderkey", "l_linenumber", F.round("cgst", 2).alias("cgst"), F.round("cgst_rate", 4).alias("cgst_rate"), F.round("total_tax", 1).alias("total_tax"), review.at_slab(F.col("cgst_rate")).alias("at_slab"))
+    return out.select("l_orderkey", "l_linenumber", F.round("cgst", 4).alias("cgst"), F.round("cgst_rate", 4).alias("cgst_rate"), F.round("total_tax", 4).alias("total_tax"), review.at_slab(F.col("cgst_rate")).alias("at_slab"))
 
 
 TWINS["derived_tax"] = """
 WITH l AS (SELECT l_orderkey, l_linenumber, CAST(CAST(max(l_extendedprice) AS DECIMAL(18,2)) AS DOUBLE) AS t, CAST(floor(max(l_tax) * 100) AS INTEGER) AS r FROM lineitem GROUP BY 1, 2)
-SELECT l_orderkey, l_linenumber, round(t * r / 100, 2) AS cgst, CAST(r AS DOUBLE) AS cgst_rate, round(t * r / 100 + t * r / 100, 1) AS total_tax, r IN (0, 5) AS at_slab FROM l"""
+SELECT l_orderkey, l_linenumber, round(t * r / 100, 4) AS cgst, CAST(r AS DOUBLE) AS cgst_rate, round(t * r / 100 + t * r / 100, 4) AS total_tax, r IN (0, 5) AS at_slab FROM l"""
 
 
 @query
