@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reconweave.llm.components import components
-from reconweave.llm.minhash import _A, _B, Merged, groups, in_blocks, similar
+from reconweave.llm.minhash import Merged, groups, in_blocks, similar
 from reconweave.llm.scratch import Scratch
 from reconweave.llm.words import _SHINGLE, buffers, counts_in, mix, slices, span_hashes, spans, texts, word_sets
 
@@ -49,14 +49,17 @@ BESIDE = 64
 def bands_for(threshold: float, recall: float, rows: int) -> int:
     """Bands of `rows` minima that a pair at the threshold shares one of, with chance recall.
 
-    More rows part paragraphs that share only a common phrase: of n that have it, each
-    half of it, 2**-rows are in one bucket.
+    More rows part paragraphs that are less alike: of n whose similarity is s, about
+    n * s**rows are in one bucket.
     """
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-ROWS = 3
+ROWS = 5
 SINGLE, BANDS = bands_for(PERCENT / 100, RECALL, 1), bands_for(PERCENT / 100, RECALL, ROWS)
+_rng = np.random.default_rng(19)
+_A = _rng.integers(1, 2**63, SINGLE + ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 2**64, SINGLE + ROWS * BANDS, dtype=np.uint64)
 
 
 def paragraphs(column: pa.StringArray) -> tuple[np.ndarray, ...]:
