@@ -23,7 +23,8 @@ from reconweave.llm.words import texts
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|svg|math|iframe|object|canvas|textarea|select|head)\b[^>]*(?<!/)>.*?</\2\s*>"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
@@ -38,7 +39,7 @@ ENDED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "t
 SCOPE = {"table", "ul", "ol", "dl", "select", "article", "section", "div", "body", "main"}
 
 #: Log-odds of content for what surrounds a block.
-BOILER_TAGS = {"nav": -6.0, "footer": -6.0, "aside": -5.0, "form": -5.0, "menu": -6.0, "dialog": -5.0, "button": -5.0, "option": -6.0, "label": -2.0, "header": -3.0, "search": -5.0, "fieldset": -4.0}
+BOILER_TAGS = {"nav": -6.0, "footer": -6.0, "aside": -5.0, "form": -5.0, "menu": -6.0, "dialog": -5.0, "button": -5.0, "option": -6.0, "label": -2.0, "header": -3.0, "search": -5.0, "fieldset": -4.0, "title": -6.0}
 CONTENT_TAGS = {"article": 3.5, "main": 2.5}
 _BOILER_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv(?:ert\w*)?|banner|breadcrumbs?|comments?|replies|reply|disqus|cookies?|consent|gdpr|copyright|dialog|disclaimer|footer|foot|header|masthead|hidden|legal|login|signup|menu\w*|modal|nav\w*|newsletter|notice|notification|overlay|pag(?:er|ination)|popup|promo\w*|recommend\w*|related|share|sharing|sidebar|side|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|tracking|widget|contentinfo|complementary|navigation|search|alert)(?:$|[\s_-])",
@@ -117,9 +118,9 @@ def blocks(page: str) -> list[Block]:
         if m.start() > place:
             text(page[place : m.start()])
         place = m.end()
-        if m[3] is None:
+        if m[4] is None:
             continue
-        tag, closing = m[3].lower(), bool(m[2])
+        tag, closing = m[4].lower(), bool(m[3])
         if tag == "br":
             text(" ")
         elif tag in BLOCK:
@@ -139,7 +140,7 @@ def blocks(page: str) -> list[Block]:
                         break
                     up = up.parent
                 if tag not in VOID:
-                    at = Element(tag, at, at.odds + _odds(tag, m[4]), at.depth + 1)
+                    at = Element(tag, at, at.odds + _odds(tag, m[5]), at.depth + 1)
         elif tag == "a":
             links = 0 if closing else 1
         elif tag == "img":

@@ -59,6 +59,13 @@ def test_article_without_boilerplate():
     assert html_mincut.main_text(None) == html_mincut.main_text("") == html_mincut.main_text("<p") == ""
 
 
+def test_elements_without_their_end_lose_no_text():
+    want = html_mincut.main_text(PAGE)
+    assert html_mincut.main_text(PAGE.replace("</head>", "")) == want
+    for open_ in ("<svg/>", "<svg width=1 />", "<svg class=x>", "<math>", "<iframe src=x>"):
+        assert html_mincut.main_text(PAGE.replace("<article>", f"{open_}<article>")) == want
+
+
 def test_cut_is_minimal():
     """Against all labellings of small pages."""
     found = html_mincut.blocks(PAGE)[:10]
