@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame
 
 from reconweave.llm.words import texts
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(noscript|template|svg|math|iframe|object|canvas|textarea|select|head)\b[^>]*(?<!/)>.*?</\2\s*>"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_START = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+#: What follows a tag's name: quotes that close before the next "<"; any up to the
+#: next ">"; quotes that hold "<" (the group is empty where the tag does not end).
+_CLOSE = re.compile(r"(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>")
+_LOOSE = re.compile(r"[^<>]*+>")
+_QUOTED = re.compile(r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(>?)")
+#: Elements whose text is never shown; the first two reach to the page's end if they have none.
+RAW = {"script", "style"}
+UNSHOWN = RAW | {"noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "head"}
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in UNSHOWN}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 #: Elements that never hold an end tag, and those that part blocks.
@@ -46,6 +48,10 @@ _BOILER_NAME = re.compile(
     re.I,
 )
 _CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|articlebody|post|entry|story|content|main|body|text|prose)(?:$|[\s_-])", re.I)
+#: Names that say how a page is laid out, and those of an element that holds the whole page or article count only from here.
+_STATE = re.compile(r"(?:has|have|no|with|without|is|not)[_-]", re.I)
+_INSIDE = re.compile(r"comment|repl|disqus|\bads?\b|adv|sponsor|promo|cookie|consent|gdpr|newsletter|login|signup|hidden|modal|popup|overlay|related|recommend", re.I)
+WHOLE = {"html", "body", "main", "article"}
 BOILER_NAME, CONTENT_NAME = -5.0, 1.5
 BIAS, PER_LOG_CHAR, LINKS, HEADING = -2.0, 0.55, -5.0, 0.8
 #: Ties of blocks that follow one another, by the elements between them, and of one parent's blocks.
@@ -59,6 +65,8 @@ class Element:
     parent: "Element | None"
     odds: float = 0.0
     depth: int = 0
+    #: This element or the nearest above it, below an element of SCOPE, that others may end.
+    ends: "Element | None" = None
 
 
 @dataclass
@@ -71,6 +79,19 @@ class Block:
     text: str = ""
 
 
+def _name_odds(tag: str, value: str) -> float:
+    """What the names of an attribute say; names of both kinds weigh half of each."""
+    boiler = content = False
+    for name in value.split():
+        if _STATE.match(name):
+            continue
+        if _BOILER_NAME.search(name):
+            boiler = boiler or tag not in WHOLE or bool(_INSIDE.search(name))
+        else:
+            content = content or bool(_CONTENT_NAME.search(name))
+    return (BOILER_NAME * boiler + CONTENT_NAME * content) / (1 + (boiler and content))
+
+
 def _odds(tag: str, raw: str) -> float:
     odds = BOILER_TAGS.get(tag, 0.0) + CONTENT_TAGS.get(tag, 0.0)
     if raw and "=" in raw or "hidden" in raw:
@@ -79,17 +100,50 @@ def _odds(tag: str, raw: str) -> float:
             if name in ("hidden", "aria-hidden") and value.lower() != "false" or name == "style" and "display:none" in value.replace(" ", ""):
                 odds -= 6.0
             elif name in ("class", "id", "role", "itemprop"):
-                if _BOILER_NAME.search(value):
-                    odds += BOILER_NAME
-                elif _CONTENT_NAME.search(value):
-                    odds += CONTENT_NAME
+                odds += _name_odds(tag, value)
     return odds
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it closes, name and attributes of each tag, in page order.
+
+    Comments, declarations and elements whose text is not shown have no name.  A tag
+    without ">" ends where the next begins.  No place of a page is looked at more than
+    a few times, whatever is left open.
+    """
+    at, tried, endless = 0, 0, set()
+    while m := _START.search(page, at):
+        start, tag, closing, attributes = m.start(), (m[3] or "").lower(), bool(m[2]), ""
+        if not tag:
+            end = page.find("-->" if m[1] else ">", m.end())
+            end = len(page) if end < 0 else end + (3 if m[1] else 1)
+        else:
+            close = _CLOSE.match(page, m.end()) or _LOOSE.match(page, m.end())
+            if close is None and start >= tried:
+                close = _QUOTED.match(page, m.end())
+                if not close[1]:
+                    tried = len(page) if page[close.end() : close.end() + 1] in ('"', "'") else close.end()
+                    close = None
+            end = close.end() if close else page.find("<", m.end())
+            end = len(page) if end < 0 else end
+            attributes = page[m.end() : end].rstrip(">")
+            if tag in UNSHOWN and not closing:
+                over = None if tag in endless or tag not in RAW and attributes.endswith("/") else _END[tag].search(page, end)
+                if over:
+                    tag, end = "", over.end()
+                elif tag in RAW:
+                    tag, end = "", len(page)
+                elif not attributes.endswith("/"):
+                    endless.add(tag)
+        yield start, end, closing, tag, attributes
+        at = end
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in page order."""
     root = Element("", None)
     at, out, links = root, [], 0
+    opened: Counter[str] = Counter()
     current: Block | None = None
 
     def text(raw: str) -> None:
@@ -113,42 +167,45 @@ def blocks(page: str) -> list[Block]:
                 out.append(current)
             current = None
 
+    def leave(up: Element) -> None:
+        """Closes the open elements down from `up`."""
+        nonlocal at
+        while at is not up.parent:
+            opened[at.tag] -= 1
+            at = at.parent
+
     place = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > place:
-            text(page[place : m.start()])
-        place = m.end()
-        if m[4] is None:
+    for start, stop, closing, tag, attributes in tokens(page):
+        if start > place:
+            text(page[place:start])
+        place = stop
+        if not tag:
             continue
-        tag, closing = m[4].lower(), bool(m[3])
         if tag == "br":
             text(" ")
         elif tag in BLOCK:
             end()
             if closing:
-                up = at
-                while up.parent is not None and up.tag != tag:
-                    up = up.parent
-                if up.parent is not None:
-                    at = up.parent
+                if opened[tag]:
+                    up = at
+                    while up.tag != tag:
+                        up = up.parent
+                    leave(up)
                 links = 0 if tag not in ("li", "p") else links
             else:
-                up = at
-                while up.parent is not None and up.tag not in SCOPE:
-                    if tag in ENDED_BY.get(up.tag, ()):
-                        at = up.parent
+                up = at.ends
+                while up is not None:
+                    if tag in ENDED_BY[up.tag]:
+                        leave(up)
                         break
-                    up = up.parent
+                    up = up.parent.ends
                 if tag not in VOID:
-                    at = Element(tag, at, at.odds + _odds(tag, m[5]), at.depth + 1)
+                    at = Element(tag, at, at.odds + _odds(tag, attributes), at.depth + 1)
+                    at.ends = at if tag in ENDED_BY else None if tag in SCOPE else at.parent.ends
+                    opened[tag] += 1
         elif tag == "a":
             links = 0 if closing else 1
-        elif tag == "img":
-            pass
-    if place < len(page):
-        rest = page[place:]
-        cut = rest.find("<")  # a tag that never ends
-        text(rest if cut < 0 or not re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest[:cut])
+    text(page[place:])
     end()
     return out
 

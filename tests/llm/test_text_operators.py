@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from reconweave.llm import decontaminate, html_mincut, langid, line_quality
 
@@ -66,6 +67,26 @@ def test_elements_without_their_end_lose_no_text():
         assert html_mincut.main_text(PAGE.replace("<article>", f"{open_}<article>")) == want
 
 
+def test_names_are_no_vetoes():
+    want = html_mincut.main_text(PAGE)
+    for tag in ('<article class="post has-sidebar">', '<article id="legal">', '<article class="story with-ads no-comments">', '<article title="a > b">', '<article title="x>', '<article title="a < b">'):
+        assert html_mincut.main_text(PAGE.replace("<article>", tag)) == want, tag
+    inside = '<section class="comments"><article class="comment"><p>' + "I liked this story and wish to say so here. " * 3 + "</p></article></section>"
+    assert html_mincut.main_text(PAGE.replace("</body>", f"{inside}</body>")) == want
+
+
+def test_hostile_pages_in_linear_time():
+    import time
+
+    for part in ("<a ", "<svg>", "<p title=\"<a ", "<p title='", "<div></b></p></section>", "<blockquote>x", "<!-- <", "<li><td>x", "<a \"<b\""):
+        seconds = []
+        for n in (50_000, 400_000):
+            start = time.process_time()
+            html_mincut.blocks(part * (n // len(part)))
+            seconds.append(time.process_time() - start)
+        assert seconds[1] < 24 * seconds[0] + 0.5, (part, seconds)
+
+
 def test_cut_is_minimal():
     """Against all labellings of small pages."""
     found = html_mincut.blocks(PAGE)[:10]
