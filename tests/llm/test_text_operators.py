@@ -147,6 +147,16 @@ def test_frequent_lines_go(spark):
     assert line_quality.line_quality(docs.limit(0), spark).count() == 0
 
 
+def test_limit_of_small_and_large_hosts(spark):
+    """Of a host of 50, lines of more than 5 documents go; of 7, those of more than 5; of 5001, those of more than 500."""
+    own = lambda h, k: " ".join(f"{h}{chr(97 + k // 676 % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}w{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(60))
+    hosts = {"a": (50, 5), "b": (50, 6), "c": (7, 5), "d": (7, 6), "e": (5001, 500), "f": (5001, 501)}
+    rows = [(1000000 * j + k, ("shared notice\n" if k < m else "") + own(h, k), h) for j, (h, (n, m)) in enumerate(hosts.items()) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    gone = {r["h"]: r["n"] for r in line_quality.line_quality(docs, spark).filter("removed_chars > 0").selectExpr("doc_id div 1000000 AS h").groupBy("h").agg(F.count("*").alias("n")).collect()}
+    assert gone == {1: 6, 3: 6, 5: 501}
+
+
 def test_benchmark_passages(spark):
     item = " ".join(f"bench{i}" for i in range(30))
     near = item.replace("bench15 ", "other ")
