@@ -23,44 +23,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents by four-word shingles; see minhash."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), spark, shingle=4, percent=80)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from those not held out; see langid."""
     docs = _table(spark, sf_dir, "documents")
     out = langid.identify(docs, langid.train(docs.filter(~langid.held_out())))
     return out.withColumn("held_out", langid.held_out())
 
 
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes; see kd_shards."""
     return kd_shards.shard(_table(spark, sf_dir, "documents"), spark, shards=8)
 
 
 def op4_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page; see html_mincut."""
     return html_mincut.extract(_table(spark, sf_dir, "pages"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens; see packing."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), spark, tokenizer_path(WORD_BPE))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of each document; see token_counts."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), spark, tokenizer_path(BYTE_BPE))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, and where; see decontaminate."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), spark)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that repeat over documents, and the document that keeps each; see substring."""
     return substring.repeats(_table(spark, sf_dir, "documents"), spark)
 
 
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of each document; see line_quality."""
     return line_quality.line_quality(_table(spark, sf_dir, "documents"), spark)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written to files and read back; see token_files."""
     return token_files.round_trip(_table(spark, sf_dir, "documents"), spark, tokenizer_path(BYTE_BPE))
 
 
