@@ -262,10 +262,15 @@ FROM (SELECT *, lower('pass ' || coalesce(difference_type, 'duplicate')) AS d FR
 FROM (VALUES ('recall Matched', 0.95), ('recall Not in Books', 0.5), ('recall Amount Difference', NULL)) t(metric, threshold) LEFT JOIN (SELECT 'recall ' || class AS metric, recall AS value FROM ({_PR}) p) m ON t.metric = m.metric""",
     "amount_proximity": f"""SELECT CAST(floor(greatest(0.0, 1 - CAST(abs(b_invoice_value - p_invoice_value) AS DOUBLE) / greatest(10.0, CAST(greatest(abs(b_invoice_value), abs(p_invoice_value)) AS DOUBLE) * CAST(0.01 AS DOUBLE))) * 10) AS INT) AS tenth, count(*) AS pairs FROM ({RUN}) r WHERE bid IS NOT NULL AND pid IS NOT NULL GROUP BY 1""",
     "document_fields": f"""
-WITH t AS (SELECT bid, bid % 2 = 0 AS plain, gstin, invoice_number, strftime(invoice_date, '%d/%m/%Y') AS d, CAST(invoice_value AS VARCHAR) AS v FROM ({derive.BOOKS}) b),
-f AS (SELECT 'gstin' AS field, 'auto' AS state, gstin AS value FROM t UNION ALL SELECT 'invoice_number', 'auto', invoice_number FROM t UNION ALL SELECT 'invoice_date', 'auto', d FROM t
-UNION ALL SELECT 'pan', 'not present', NULL FROM t UNION ALL SELECT 'total', 'review', v FROM t)
-SELECT field, state, count(*) AS documents, max(value) AS greatest FROM f GROUP BY ALL""",
+WITH t AS (SELECT *, bid % 2 = 0 AS even FROM ({derive.BOOKS}) b),
+f AS (SELECT 'vendor_gstin' AS field, gstin AS value, true AS asks FROM t UNION ALL SELECT 'invoice_number', invoice_number, true FROM t UNION ALL SELECT 'invoice_date', strftime(invoice_date, '%d/%m/%Y'), true FROM t
+UNION ALL SELECT 'taxable_value', CAST(taxable_value AS VARCHAR), true FROM t UNION ALL SELECT 'cgst_amount', CAST(cgst AS VARCHAR), true FROM t UNION ALL SELECT 'cgst_rate', CASE WHEN even THEN '9' END, false FROM t
+UNION ALL SELECT 'sgst_rate', CASE WHEN even THEN '9' END, false FROM t UNION ALL SELECT 'sgst_amount', CASE WHEN NOT even THEN CAST(sgst AS VARCHAR) END, NOT even FROM t
+UNION ALL SELECT 'invoice_total', CAST(invoice_value AS VARCHAR), true FROM t UNION ALL SELECT 'place_of_supply', 'Delhi (07)', true FROM t
+UNION ALL SELECT x, NULL, x <> 'igst_rate' FROM t CROSS JOIN (VALUES ('vendor_name'), ('hsn_sac'), ('item_description'), ('quantity'), ('rate'), ('igst_rate'), ('igst_amount'), ('total_tax'), ('reference_po')) v(x))
+SELECT field, CASE WHEN value IS NULL THEN 'not present' ELSE 'auto' END AS state, value IS NULL AND asks AS reviewable, count(*) AS documents, max(value) AS greatest FROM f GROUP BY ALL""",
+    "document_uploads": f"""SELECT bid, upper(invoice_number) AS invoice_number, gstin AS vendor_gstin, copies, first_copy FROM (
+SELECT *, count(*) OVER (PARTITION BY gstin, upper(invoice_number)) AS copies, min(bid) OVER (PARTITION BY gstin, upper(invoice_number)) AS first_copy FROM ({derive.BOOKS}) b) q WHERE copies > 1""",
     "stream_event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, sum(CAST(value AS DECIMAL(18,4))) AS total FROM (SELECT DISTINCT ON (event_id) * FROM events) e GROUP BY ALL",
     "result_reasons": f"""
 WITH r AS (SELECT *, regexp_replace(coalesce(b_invoice_number, p_invoice_number), '[0-9][0-9,./-]*', '#', 'g') AS n, abs(date_diff('day', b_invoice_date, p_invoice_date)) AS days FROM ({RUN}) q)

@@ -536,13 +536,27 @@ def amount_proximity(spark: SparkSession, sf: str) -> DataFrame:
 # --- documents and streams ---------------------------------------------------
 
 
+def _rendered(spark: SparkSession, sf: str) -> DataFrame:
+    """Books as the text of invoices; every other one says Bill No. and gives its rate."""
+    b, say = derive.books(spark, sf), F.lit
+    even = F.col("bid") % 2 == 0
+    number = F.concat(F.when(even, " Invoice No: ").otherwise(" Bill No. "), F.col("invoice_number"))
+    taxes = F.concat(say(" Taxable Value: Rs. "), F.col("taxable_value").cast("string"), F.when(even, " CGST @ 9% : ").otherwise(" CGST "), F.col("cgst").cast("string"), say(" SGST "), F.when(even, "@ 9%").otherwise(F.col("sgst").cast("string")))
+    text = F.concat(say("GSTIN: "), "gstin", number, say(" Date: "), F.date_format("invoice_date", "dd/MM/yyyy"), taxes, say(" Grand Total "), F.col("invoice_value").cast("string"), say(" Place of Supply: Delhi (07)"))
+    return extract.extract(b.withColumn("text", text), "bid", "text")
+
+
 @query
 def document_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled fields of rendered invoices by state."""
-    b = derive.books(spark, sf)
-    text = F.concat(F.lit("GSTIN: "), "gstin", F.when(F.col("bid") % 2 == 0, " Invoice No: ").otherwise(" Bill No. "), F.col("invoice_number"), F.lit(" Date: "), F.date_format("invoice_date", "dd/MM/yyyy"), F.lit(" Total "), F.col("invoice_value").cast("string"))
-    out = extract.extract(b.withColumn("text", text), "bid", "text")
-    return out.groupBy("field", "state").agg(F.count(F.lit(1)).alias("documents"), F.max("value").alias("greatest"))
+    out = _rendered(spark, sf)
+    return out.groupBy("field", "state", "reviewable").agg(F.count(F.lit(1)).alias("documents"), F.max("value").alias("greatest"))
+
+
+@query
+def document_uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """Rendered invoices whose number and GSTIN stand on more than one document."""
+    return extract.uploaded_again(_rendered(spark, sf), "bid")
 
 
 @query
