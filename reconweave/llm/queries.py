@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reconweave.llm import decontaminate, html_mincut, kd_shards, langid, line_quality, minhash, packing, substring, token_counts, token_files
+from reconweave.llm import decontaminate, html_mincut, importance, kd_shards, langid, line_quality, minhash, packing, substring, token_counts, token_files
 
 #: File names of the public tokenizers; tokenizer_path() finds their place.
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -74,9 +74,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), spark, tokenizer_path(BYTE_BPE))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's texts; see importance."""
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), spark, percent=25, least_words=20, seed=7, buckets=10_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_language_id, op3_kd_shards, op4_html_mincut, op5_best_fit_packing, op6_token_counts, op7_decontamination, op8_substring_dedup, op9_line_quality, op10_token_files)
+    for f in (op1_minhash_dedup, op2_language_id, op3_kd_shards, op4_html_mincut, op5_best_fit_packing, op6_token_counts, op7_decontamination, op8_substring_dedup, op9_line_quality, op10_token_files, op13_importance_resampling)
 }
 
 _OP1 = r"""
@@ -127,4 +132,32 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM m
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": _OP1, "op9_line_quality": _OP9}
+_OP13 = r"""
+WITH texts AS (
+  SELECT 0 AS side, row_number() OVER () AS rid, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+worded AS (
+  SELECT side, rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+features AS (
+  SELECT side, rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM worded),
+counted AS (SELECT side, rid, f, count(*) AS n FROM features GROUP BY side, rid, f),
+octets AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM counted) q),
+steps AS (
+  SELECT f, list_concat([4294967295], flatten(list_transform(range(1, len(x), 2), lambda i: [CAST('0x' || x[i:i + 1] AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))) AS s FROM octets),
+buckets AS (
+  SELECT f, xor(list_reduce(s, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 10000 AS b FROM steps),
+totals AS (SELECT b, coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t FROM counted JOIN buckets USING (f) GROUP BY b),
+alls AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM totals),
+gains AS (
+  SELECT b, CAST(floor(1000 * ln((CAST(o.t AS DOUBLE) + 1) * (CAST(a.s AS DOUBLE) + 10000) / ((CAST(o.s AS DOUBLE) + 1) * (CAST(a.t AS DOUBLE) + 10000)))) AS BIGINT) AS g FROM totals o CROSS JOIN alls a),
+weights AS (SELECT rid, sum(n) AS n, CAST(floor(CAST(sum(n * g) AS DOUBLE) / sum(n)) AS BIGINT) AS weight FROM counted JOIN buckets USING (f) JOIN gains USING (b) WHERE side = 0 GROUP BY rid),
+scored AS (
+  SELECT d.rid, doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM worded d LEFT JOIN weights USING (rid) WHERE side = 0),
+ranked AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id, weight DESC, n_features) AS r, count(*) OVER () AS n FROM scored WHERE words >= 20 AND doc_id IS NOT NULL)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": _OP1, "op9_line_quality": _OP9, "op13_importance_resampling": _OP13}
