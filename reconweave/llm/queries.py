@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reconweave.llm import decontaminate, html_mincut, importance, kd_shards, langid, line_quality, minhash, packing, substring, token_counts, token_files
+from reconweave.llm import decontaminate, hard_negatives, html_mincut, importance, kd_shards, langid, line_quality, minhash, packing, substring, token_counts, token_files
 
 #: File names of the public tokenizers; tokenizer_path() finds their place.
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -74,6 +74,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), spark, tokenizer_path(BYTE_BPE))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector's positives; see hard_negatives."""
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), spark, positives=5, negatives=10)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the documents, drawn towards the benchmark's texts; see importance."""
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), spark, percent=25, least_words=20, seed=7, buckets=10_000)
@@ -81,7 +86,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_language_id, op3_kd_shards, op4_html_mincut, op5_best_fit_packing, op6_token_counts, op7_decontamination, op8_substring_dedup, op9_line_quality, op10_token_files, op13_importance_resampling)
+    for f in (op1_minhash_dedup, op2_language_id, op3_kd_shards, op4_html_mincut, op5_best_fit_packing, op6_token_counts, op7_decontamination, op8_substring_dedup, op9_line_quality, op10_token_files, op12_hard_negatives, op13_importance_resampling)
 }
 
 _OP1 = r"""
@@ -132,6 +137,22 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM m
 """
 
+_OP12 = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.rid <> b.rid AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, rid) AS place
+  FROM scores WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, place ORDER BY score DESC, vec_id, rid) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scores s ON p.anchor = s.anchor AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 _OP13 = r"""
 WITH texts AS (
   SELECT 0 AS side, row_number() OVER () AS rid, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
@@ -160,4 +181,4 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHE
 FROM scored LEFT JOIN ranked USING (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": _OP1, "op9_line_quality": _OP9, "op13_importance_resampling": _OP13}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": _OP1, "op9_line_quality": _OP9, "op12_hard_negatives": _OP12, "op13_importance_resampling": _OP13}
