@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reconweave.llm import decontaminate, hard_negatives, html_mincut, importance, kd_shards, langid, line_quality, minhash, packing, substring, token_counts, token_files
+from reconweave.llm import decontaminate, hard_negatives, html_mincut, importance, kd_shards, langid, line_quality, minhash, packing, substring, token_counts, token_files, toxicity
 
 #: File names of the public tokenizers; tokenizer_path() finds their place.
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -74,6 +74,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), spark, tokenizer_path(BYTE_BPE))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic each document is, learned from labels that are not held out; see toxicity."""
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"), spark), spark)
+    return out.withColumn("held_out", toxicity.held_out())
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector's positives; see hard_negatives."""
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), spark, positives=5, negatives=10)
@@ -86,7 +93,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_language_id, op3_kd_shards, op4_html_mincut, op5_best_fit_packing, op6_token_counts, op7_decontamination, op8_substring_dedup, op9_line_quality, op10_token_files, op12_hard_negatives, op13_importance_resampling)
+    for f in (op1_minhash_dedup, op2_language_id, op3_kd_shards, op4_html_mincut, op5_best_fit_packing, op6_token_counts, op7_decontamination, op8_substring_dedup, op9_line_quality, op10_token_files, op11_toxicity, op12_hard_negatives, op13_importance_resampling)
 }
 
 _OP1 = r"""
