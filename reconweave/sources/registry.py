@@ -9,6 +9,8 @@ one is named for a person to look at, never used.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,10 +103,25 @@ def missing_labels(files: DataFrame, f: Format) -> DataFrame:
     return each.select("file", "s.sheet", F.array_except(want[F.col("s.sheet")], "s.labels").alias("missing")).filter(F.size("missing") > 0)
 
 
-def replay(grid: DataFrame, found: DataFrame) -> dict[str, DataFrame]:
-    """format name -> parsed rows of the files that look_up() found it for; the others are read by nothing."""
-    names = found.filter("decision = 'replay'").select("name", "format").distinct().collect()  # a row for each known format
-    return {r["name"]: workbooks.parse(grid.join(found.filter((F.col("decision") == "replay") & (F.col("name") == r["name"])).select("file"), "file", "left_semi"), Format.from_json(r["format"])) for r in names}
+def replay(grid: DataFrame, found: DataFrame) -> DataFrame:
+    """The files that look_up() found a format for, parsed by it in one pass over their rows; the others are read by nothing.
+
+    Rows have the name of their format, and the fields of all formats.
+    """
+    used = found.filter("decision = 'replay'")
+    rows = used.select("name", "format").distinct().collect()  # a row for each known format
+    formats = {r["format"]: (r["name"], Format.from_json(r["format"])) for r in rows}
+    known = [known_sheets(grid, used.filter(F.col("format") == text), f).withColumn("_name", F.lit(name)) for text, (name, f) in formats.items()]
+    if not known:
+        return workbooks.parse(grid.limit(0), Format("none", {})).withColumn("name", F.lit(None).cast("string"))
+    every = reduce(DataFrame.unionByName, known)
+    parsed = workbooks.read_rows(grid, every.drop("_name"), [f for _, f in formats.values()])
+    return parsed.join(every.select("file", "sheet", F.col("_name").alias("name")), ["file", "sheet"])
+
+
+def known_sheets(grid: DataFrame, files: DataFrame, f: Format) -> DataFrame:
+    """workbooks.sheets() of some files by a format."""
+    return workbooks.sheets(grid.join(files.select("file"), "file", "left_semi"), f)
 
 
 def problems(parsed: DataFrame, required: list[str], c: Guards, totals: DataFrame | None = None) -> list[str]:

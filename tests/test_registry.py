@@ -57,7 +57,8 @@ def test_known_layouts_are_replayed_and_others_refused(spark, tmp_path):
     assert (got["more.csv"]["decision"], got["more.csv"]["closest"], got["more.csv"]["similarity"]) == ("refused", "plain", 0.875)
     assert got["else.csv"]["decision"] == "refused" and got["else.csv"]["closest"] is None
     parsed = registry.replay(files, registry.look_up(registry.layouts(files), registry.standing(store.read())))
-    assert list(parsed) == ["plain"] and {r["file"] for r in parsed["plain"].collect()} == {"same.csv"}
+    assert {(r["name"], r["file"], r["invoice_number"]) for r in parsed.collect()} == {("plain", "same.csv", f"B{n}") for n in range(1, 6)}
+    assert registry.replay(files, registry.look_up(registry.layouts(files), registry.standing(store.read(0)))).count() == 0
     assert registry.promote(store, plain(spark, "n.csv", ("GSTIN", "Bill No", "Value", "Extra")), PLAIN, actor="c")[0] == 2
     got = look()
     assert got["same.csv"]["decision"] == "stale" and got["more.csv"]["decision"] == "replay" and look(1)["same.csv"]["decision"] == "replay"
