@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes of an Arrow batch: texts are long, and a task holds a batch on either side several times over.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps batches that go to Python small, where the session has Spark's own default for them."""
+    rows, size = (f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
 class Scratch:
     """A folder of Parquet tables below spark.checkpoint.dir.
 
@@ -18,6 +30,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not spark.sparkContext.master.startswith("local["):
