@@ -25,38 +25,53 @@ def rank_of(value: Column, order: tuple[str, ...], other: int) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), value), F.lit(0)) - 1, F.lit(other)).cast("int")
 
 
+def has(**equals: object) -> Column:
+    """Whether a row has all the given values; None asks for nothing."""
+    return reduce(Column.__and__, (F.col(k) == v for k, v in equals.items() if v is not None), F.lit(True))
+
+
 def only(rows: DataFrame, **equals: object) -> DataFrame:
     """The rows with all the given values; None asks for nothing."""
-    asked = [F.col(k) == v for k, v in equals.items() if v is not None]
-    return rows.filter(reduce(Column.__and__, asked)) if asked else rows
+    return rows.filter(has(**equals)) if any(v is not None for v in equals.values()) else rows
 
 
-def listing(items: DataFrame, *, view: str | None = None, bucket: str | None = None, state: str | None = None, active: bool = False, search: str | None = None, **equals: object) -> DataFrame:
-    """Items of a review list: bucket, reviewed, party, gstin, reference and more.
-
-    Matched items show only in the views matched and reviewed, or where bucket asks
-    for them.  state: reviewed or unreviewed; equals: cause, cause_group,
-    confidence_band, supplier_key; search: a text in party, GSTIN or reference.
-    """
+def shown(*, view: str | None = None, bucket: str | None = None, state: str | None = None, active: bool = False, search: str | None = None, **equals: object) -> Column:
+    """Whether a review list with these settings shows an item; see listing()."""
     matched = F.col("bucket") == "Matched"
     if view == "matched":
-        shown = matched
+        out = matched
     elif view == "reviewed":
-        shown = F.col("reviewed")
+        out = F.col("reviewed")
     elif view in VIEWS:
-        shown = F.col("bucket") == VIEWS[view]
+        out = F.col("bucket") == VIEWS[view]
     elif view or bucket != "Matched":
-        shown = ~matched
+        out = ~matched
     else:
-        shown = F.lit(True)
+        out = F.lit(True)
     if state == "reviewed":
-        shown = shown & F.col("reviewed")
+        out = out & F.col("reviewed")
     if state == "unreviewed" or active:
-        shown = shown & ~F.col("reviewed")
+        out = out & ~F.col("reviewed")
     if search and search.strip():
         text = F.lower(F.concat_ws(" ", "party", "gstin", "reference"))
-        shown = shown & text.contains(search.strip().lower())
-    return only(items.filter(shown), bucket=bucket, **equals)
+        out = out & text.contains(search.strip().lower())
+    return out & has(bucket=bucket, **equals)
+
+
+def listing(items: DataFrame, **asked: object) -> DataFrame:
+    """Items of a review list: bucket, reviewed, party, gstin, reference and more.
+
+    Matched items show only in the views matched and reviewed, or where bucket asks
+    for them.  state: reviewed or unreviewed; equal values of cause, cause_group,
+    confidence_band, supplier_key; search: a text in party, GSTIN or reference.
+    """
+    return items.filter(shown(**asked))
+
+
+def listing_counts(items: DataFrame, settings: dict[str, dict]) -> DataFrame:
+    """filter, items: how many items each of several settings shows, in one pass."""
+    counts = items.agg(*(F.count_if(F.coalesce(shown(**asked), F.lit(False))).alias(k) for k, asked in settings.items()))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("filter"), F.col(k).alias("items")) for k in settings))).alias("x")).select("x.*")
 
 
 def order(key: str, ident: str = "id") -> list[Column]:
@@ -95,13 +110,15 @@ def batch_exclusion(gated: Column) -> Column:
 def headline_integrity(results: DataFrame, headline: DataFrame) -> DataFrame:
     """One row: headline, recount, cause_sum, exception_count, ties (within 0.05).
 
-    results: classification, cause, itc_at_risk; headline: one row with at_stake.
+    results: classification, cause, itc_at_risk, a written table, as it is read twice;
+    headline: one row with at_stake.
     """
-    open_ = results.filter("classification <> 'Matched'")
+    open_ = F.col("classification") != "Matched"
     money = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,2)")
-    causes = open_.groupBy("cause").agg(F.sum("itc_at_risk").alias("tax")).agg(money("tax").alias("cause_sum"))
-    recount = open_.agg(money("itc_at_risk").alias("recount"), F.count(F.lit(1)).alias("exception_count"))
-    out = headline.select(F.coalesce("at_stake", F.lit(0)).cast("decimal(38,2)").alias("headline")).crossJoin(recount).crossJoin(causes)  # one row each
+    recount = results.filter(open_).agg(money("itc_at_risk").alias("recount"), F.count(F.lit(1)).alias("exception_count"))
+    causes = results.filter(open_).groupBy("cause").agg(F.sum("itc_at_risk").alias("tax")).agg(money("tax").alias("cause_sum"))
+    one = F.lit(1).alias("_one")
+    out = headline.select(one, F.coalesce("at_stake", F.lit(0)).cast("decimal(38,2)").alias("headline")).join(recount.select(one, "*"), "_one").join(causes.select(one, "*"), "_one").drop("_one")  # one row each
     return out.withColumn("ties", (F.abs(F.col("headline") - F.col("recount")) < 0.05) & (F.abs(F.col("recount") - F.col("cause_sum")) < 0.05))
 
 

@@ -12,6 +12,7 @@ from reconweave.plans import analytics
 from reconweave.plans.oracles import RUN, _ALIGNED
 from reconweave.plans.queries import _aligned, _run, query
 from reconweave.sources import derive
+from reconweave.stages import Stages
 
 CONFIG = Config()
 TWINS: dict[str, str] = {}
@@ -55,11 +56,7 @@ _FILTERS = {
 @query
 def review_filters(spark: SparkSession, sf: str) -> DataFrame:
     """How many items each setting of the filters shows."""
-    items, out = _items(spark, sf), None
-    for name, (asked, _) in _FILTERS.items():
-        one = review.listing(items, **asked).agg(F.lit(name).alias("filter"), F.count(F.lit(1)).alias("items"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return review.listing_counts(_items(spark, sf), {k: asked for k, (asked, _) in _FILTERS.items()})
 
 
 TWINS["review_filters"] = f"WITH i AS MATERIALIZED ({_ITEMS}) " + " UNION ALL ".join(f"SELECT '{k}' AS filter, count(*) AS items FROM i WHERE {w}" for k, (_, w) in _FILTERS.items())
@@ -68,7 +65,7 @@ TWINS["review_filters"] = f"WITH i AS MATERIALIZED ({_ITEMS}) " + " UNION ALL ".
 @query
 def review_order(spark: SparkSession, sf: str) -> DataFrame:
     """The first 25 items of each order: a page of the list."""
-    items, out = review.listing(_items(spark, sf)), None
+    items, out = Stages(spark, "review-order")(review.listing(_items(spark, sf))), None  # read once for each order
     for key in ("difference", "supplier", "confidence", "review_state"):
         one = analytics.page(items, review.order(key), 1).select(F.lit(key).alias("sort_key"), "id", "bucket", "difference")
         out = one if out is None else out.unionByName(one)
@@ -99,6 +96,8 @@ FROM orders WHERE o_orderstatus = 'O' AND date_diff('day', CAST(o_orderdate AS D
 def headline_integrity(spark: SparkSession, sf: str) -> DataFrame:
     """The headline against a recount of the rows and of the causes."""
     run = classify.cause(_run(spark, sf), CONFIG.gst.tolerance, CONFIG.materiality["GST"])
+    tax = F.struct(F.coalesce("portal.total_tax", "books.total_tax").alias("total_tax"))
+    run = Stages(spark, "headline")(run.select("classification", "cause", "itc_at_risk", tax.alias("books"), tax.alias("portal")))  # planned once, read three times
     return review.headline_integrity(run, analytics.kpis(run))
 
 
@@ -262,7 +261,7 @@ TWINS["citations"] = f"SELECT CASE WHEN narration LIKE 'being%' THEN 0 ELSE 1 EN
 @query
 def repeated_names(spark: SparkSession, sf: str) -> DataFrame:
     """Part names that more than one part has."""
-    return review.repeated(spark.read.parquet(f"{sf}/part.parquet").select(F.substring("p_name", 1, 8).alias("name")), "name")
+    return review.repeated(spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("name")), "name")
 
 
-TWINS["repeated_names"] = "SELECT left(p_name, 8) AS name, count(*) AS copies FROM part GROUP BY 1 HAVING count(*) > 1"
+TWINS["repeated_names"] = "SELECT p_name AS name, count(*) AS copies FROM part GROUP BY 1 HAVING count(*) > 1"
