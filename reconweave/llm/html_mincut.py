@@ -2,7 +2,8 @@
 
 A page becomes a row of text blocks.  A logistic classifier on text, link and
 element features gives each block the cost of either label: the capacities of its
-edges to the two terminals.  Blocks that follow one another, and blocks of one
+edges to the two terminals.  What an element says against its text counts less, the
+more of the page's text it holds, so no name and no wrapping form empties a page.  Blocks that follow one another, and blocks of one
 parent element, are tied by smoothness edges.  The minimum cut, found by maximum
 flow, parts content from boilerplate at the least total cost.
 """
@@ -41,19 +42,27 @@ ENDED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "t
 SCOPE = {"table", "ul", "ol", "dl", "select", "article", "section", "div", "body", "main"}
 
 #: Log-odds of content for what surrounds a block.
+#: An element's word against its text counts in full up to the first share of the page's text, and not at all from the second.
+WEAK, STRONG = (0.4, 0.7), (0.85, 0.97)
+WEAK_TAGS = {"form", "fieldset", "search", "header", "label", "button"}
 BOILER_TAGS = {"nav": -6.0, "footer": -6.0, "aside": -5.0, "form": -5.0, "menu": -6.0, "dialog": -5.0, "button": -5.0, "option": -6.0, "label": -2.0, "header": -3.0, "search": -5.0, "fieldset": -4.0, "title": -6.0}
 CONTENT_TAGS = {"article": 3.5, "main": 2.5}
 _BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv(?:ert\w*)?|banner|breadcrumbs?|comments?|replies|reply|disqus|cookies?|consent|gdpr|copyright|dialog|disclaimer|footer|foot|header|masthead|hidden|legal|login|signup|menu\w*|modal|nav\w*|newsletter|notice|notification|overlay|pag(?:er|ination)|popup|promo\w*|recommend\w*|related|share|sharing|sidebar|side|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|tracking|widget|contentinfo|complementary|navigation|search|alert)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adv(?:ert\w*)?|banner|breadcrumbs?|comments?|replies|reply|disqus|cookies?|consent|gdpr|copyright|dialog|disclaimer|footer|foot|header|masthead|hidden|legal|login|signup|menu\w*|modal|nav\w*|newsletter|notice|notification|overlay|pag(?:er|ination)|popup|promo\w*|recommend\w*|related|share|sharing|sidebar|side(?!-by-side)(?<!side-by-side)|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|tracking|widget|contentinfo|complementary|navigation|search|alert)(?:$|[\s_-])",
     re.I,
 )
 _CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|articlebody|post|entry|story|content|main|body|text|prose)(?:$|[\s_-])", re.I)
+#: Utility names say how boxes are drawn: overflow-hidden, md:block; hidden beside one of the latter is shown on some screens.
+_UTILITY = re.compile(r"overflow-|[a-z0-9]+:")
+_SHOWN = re.compile(r"[a-z0-9]+:(?:block|flex|grid|inline\S*|table\S*|contents)$")
 #: Names that say how a page is laid out, and those of an element that holds the whole page or article count only from here.
 _STATE = re.compile(r"(?:has|have|no|with|without|is|not)[_-]", re.I)
 _INSIDE = re.compile(r"comment|repl|disqus|\bads?\b|adv|sponsor|promo|cookie|consent|gdpr|newsletter|login|signup|hidden|modal|popup|overlay|related|recommend", re.I)
 WHOLE = {"html", "body", "main", "article"}
 BOILER_NAME, CONTENT_NAME = -5.0, 1.5
 BIAS, PER_LOG_CHAR, LINKS, HEADING = -2.0, 0.55, -5.0, 0.8
+#: For the share of the page's text outside links that stands beside a block, below one element.
+TOGETHER = 2.0
 #: Ties of blocks that follow one another, by the elements between them, and of one parent's blocks.
 NEXT_TO, SAME_PARENT = 0.9, 0.6
 SCALE = 1000
@@ -63,8 +72,11 @@ SCALE = 1000
 class Element:
     tag: str
     parent: "Element | None"
-    odds: float = 0.0
+    #: What speaks for its text, against it weakly, and against it strongly.
+    own: tuple[float, float, float] = (0.0, 0.0, 0.0)
     depth: int = 0
+    chars: int = 0
+    odds: float = 0.0
     #: This element or the nearest above it, below an element of SCOPE, that others may end.
     ends: "Element | None" = None
 
@@ -77,31 +89,58 @@ class Block:
     linked: int = 0
     heading: bool = False
     text: str = ""
+    together: float = 0.0
 
 
-def _name_odds(tag: str, value: str) -> float:
-    """What the names of an attribute say; names of both kinds weigh half of each."""
-    boiler = content = False
-    for name in value.split():
-        if _STATE.match(name):
+def _name_odds(tag: str, value: str) -> tuple[float, float, float]:
+    """What the names of an attribute say; a name of both kinds says nothing, names of both kinds weigh half of each."""
+    weak = strong = content = False
+    names = value.split()
+    shown = any(_SHOWN.match(n) for n in names)
+    for name in names:
+        if _STATE.match(name) or _UTILITY.match(name) or name.lower() == "hidden" and shown:
             continue
-        if _BOILER_NAME.search(name):
-            boiler = boiler or tag not in WHOLE or bool(_INSIDE.search(name))
-        else:
-            content = content or bool(_CONTENT_NAME.search(name))
-    return (BOILER_NAME * boiler + CONTENT_NAME * content) / (1 + (boiler and content))
-
-
-def _odds(tag: str, raw: str) -> float:
-    odds = BOILER_TAGS.get(tag, 0.0) + CONTENT_TAGS.get(tag, 0.0)
+        good, bad = bool(_CONTENT_NAME.search(name)), bool(_BOILER_NAME.search(name))
+        inside = bool(_INSIDE.search(name))
+        if bad and (inside or not good):
+            strong = strong or inside
+            weak = weak or not inside and tag not in WHOLE
+        elif good and not bad:
+            content = True
+    half = 1 / (1 + ((weak or strong) and content))
+    return CONTENT_NAME * content * half, BOILER_NAME * (weak and not strong) * half, BOILER_NAME * strong * half
+
+
+def _odds(tag: str, raw: str) -> tuple[float, float, float]:
+    """What an element says for its text, against it weakly, and against it strongly."""
+    against = BOILER_TAGS.get(tag, 0.0)
+    good, weak, strong = CONTENT_TAGS.get(tag, 0.0), against * (tag in WEAK_TAGS), against * (tag not in WEAK_TAGS)
     if raw and "=" in raw or "hidden" in raw:
         for name, value in _ATTRIBUTE.findall(raw):
             name, value = name.lower(), value.strip("\"'")
             if name in ("hidden", "aria-hidden") and value.lower() != "false" or name == "style" and "display:none" in value.replace(" ", ""):
-                odds -= 6.0
+                strong -= 6.0
             elif name in ("class", "id", "role", "itemprop"):
-                odds += _name_odds(tag, value)
-    return odds
+                x, y, z = _name_odds(tag, value)
+                good, weak, strong = good + x, weak + y, strong + z
+    return good, weak, strong
+
+
+def _fading(share: float, bounds: tuple[float, float]) -> float:
+    """1 up to the first bound, 0 from the second, a line between."""
+    return min(1.0, max(0.0, (bounds[1] - share) / (bounds[1] - bounds[0])))
+
+
+def weigh(elements: list[Element]) -> None:
+    """Sets every element's odds from its own and those above it, by the share of the text below; elements follow their parents."""
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.chars += e.chars
+    every = max(1, elements[0].chars)
+    for e in elements:
+        share = e.chars / every
+        good, weak, strong = e.own
+        e.odds = (e.parent.odds if e.parent else 0.0) + good + weak * _fading(share, WEAK) + strong * _fading(share, STRONG)
 
 
 def tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
@@ -143,6 +182,7 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in page order."""
     root = Element("", None)
     at, out, links = root, [], 0
+    elements = [root]
     opened: Counter[str] = Counter()
     current: Block | None = None
 
@@ -164,6 +204,7 @@ def blocks(page: str) -> list[Block]:
             if current.text:
                 up = current.parent
                 current.heading = up.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+                up.chars += len(current.text)
                 out.append(current)
             current = None
 
@@ -200,20 +241,30 @@ def blocks(page: str) -> list[Block]:
                         break
                     up = up.parent.ends
                 if tag not in VOID:
-                    at = Element(tag, at, at.odds + _odds(tag, attributes), at.depth + 1)
+                    at = Element(tag, at, _odds(tag, attributes), at.depth + 1)
+                    elements.append(at)
                     at.ends = at if tag in ENDED_BY else None if tag in SCOPE else at.parent.ends
                     opened[tag] += 1
         elif tag == "a":
             links = 0 if closing else 1
     text(page[place:])
     end()
+    weigh(elements)
+    unlinked = [max(0.0, len(b.text) * (1 - b.linked / max(b.chars, 1))) for b in out]
+    beside: dict[int, float] = {}
+    for b, n in zip(out, unlinked, strict=True):
+        above = id(b.parent.parent or b.parent)
+        beside[above] = beside.get(above, 0.0) + n
+    every = max(1.0, sum(unlinked))
+    for b in out:
+        b.together = beside[id(b.parent.parent or b.parent)] / every
     return out
 
 
 def content_odds(b: Block) -> float:
     """Log-odds that a block is content."""
     links = b.linked / max(b.chars, 1)
-    return BIAS + PER_LOG_CHAR * math.log1p(len(b.text)) + LINKS * links + HEADING * b.heading + max(-9.0, min(6.0, b.parent.odds))
+    return BIAS + PER_LOG_CHAR * math.log1p(len(b.text)) + LINKS * links + HEADING * b.heading + TOGETHER * b.together + max(-9.0, min(6.0, b.parent.odds))
 
 
 def _apart(a: Element, b: Element) -> int:
