@@ -8,7 +8,9 @@ all items and are passed over.  The other windows' fingerprints are looked up am
 the items of their length in a multi-index of BLOCKS blocks, each of which also holds
 the values within NEAR bits: of up to RADIUS differing bits, at most NEAR fall in some
 block, so no fingerprint within RADIUS is missed.  Candidates are verified by the
-exact weighted Jaccard similarity of the shingles.
+exact weighted Jaccard similarity of the shingles.  An item of fewer than SHINGLE
+words is one shingle of its own length, which is as similar as asked only to itself: all
+runs of so many words of a document are looked up among such items.
 """
 
 from __future__ import annotations
@@ -76,6 +78,7 @@ class Items:
     rare: int  # of a shingle that no item has
     prints: np.ndarray
     index: list[tuple[np.ndarray, np.ndarray]]  # of each block: length and value, items
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # of each length below SHINGLE: sorted hashes of whole items, items
 
     def weigh(self, value: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, value), len(self.keys) - 1)
@@ -89,7 +92,7 @@ def prepare(rows: list[tuple[int, str | None]], frequency: tuple[np.ndarray, np.
     owner = np.searchsorted(at, keep, "right") - 1
     keys, n, total = frequency or (*shingle_counts(rows), len(rows))
     weights = np.rint(16 * (1 + np.log(max(total, 1) / np.maximum(n, 1)))).astype(np.int32)
-    items = Items([x[0] for x in rows], np.unique(np.diff(at)[np.diff(at) > 0]), [{} for _ in rows], keys, weights, int(np.rint(16 * (1 + np.log(max(total, 1))))), np.zeros((0, 2), np.uint64), [])
+    items = Items([x[0] for x in rows], np.unique(np.diff(at)[np.diff(at) > 0]), [{} for _ in rows], keys, weights, int(np.rint(16 * (1 + np.log(max(total, 1))))), np.zeros((0, 2), np.uint64), [], _short_items(rows))
     if not len(keep):
         return items
     own = items.weigh(value[keep])
@@ -108,6 +111,43 @@ def prepare(rows: list[tuple[int, str | None]], frequency: tuple[np.ndarray, np.
     return items
 
 
+def _short_items(rows: list[tuple[int, str | None]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    column = texts(pa.array([x[1] for x in rows], pa.string()))
+    data, offsets = buffers(column)
+    starts, ends = spans(data, offsets, _BREAKS)
+    words, at = span_hashes(data, starts, ends), counts_in(offsets, starts)
+    out = {}
+    for n in range(1, SHINGLE):
+        own = np.flatnonzero(np.diff(at) == n)
+        if len(own):
+            item, value = shingles(words, at, n)
+            one = np.isin(item, own)
+            order = np.argsort(value[one], kind="stable")
+            out[n] = (value[one][order], item[one][order])
+    return out
+
+
+def short_hits(items: Items, column: pa.StringArray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first word, words) of each run of words that is a whole item of fewer than SHINGLE words."""
+    if not items.short:
+        return
+    data, offsets = buffers(column)
+    starts, ends = spans(data, offsets, _BREAKS)
+    words, at = span_hashes(data, starts, ends), counts_in(offsets, starts)
+    for n, (keys, which) in items.short.items():
+        some = np.flatnonzero(np.diff(at) >= n)
+        if not len(some):
+            continue
+        doc, value = shingles(words, at, n)
+        long = np.isin(doc, some)
+        doc, value = doc[long], value[long]
+        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        low, high = np.searchsorted(keys, value, "left"), np.searchsorted(keys, value, "right")
+        for k in np.flatnonzero(high > low).tolist():
+            for e in range(low[k], high[k]):
+                yield int(doc[k]), int(which[e]), int(place[k]), n
+
+
 def shingle_counts(rows: list[tuple[int, str | None]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingle hashes of the items, and in how many items each is."""
     at, value = _text_shingles(texts(pa.array([x[1] for x in rows], pa.string())))
@@ -199,6 +239,9 @@ def hits(items: Items, column: pa.StringArray) -> dict[tuple[int, int], tuple]:
                 words = min(m + SHINGLE - 1, int(at[doc + 1]) - a)
                 row = (like, -(a - int(at[doc])), words, differ)
                 best[doc, i] = max(best.get((doc, i), row), row)
+    for doc, i, place, n in short_hits(items, column):
+        row = (1.0, -place, n, 0)
+        best[doc, i] = max(best.get((doc, i), row), row)
     return best
 
 
@@ -241,8 +284,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) ->
 
     docs: doc_id, text; benchmark: item_id, text, a query set that the driver can hold.
     Words are lower-cased runs between white space and ASCII punctuation.  Null and
-    wordless texts and items hit nothing.  An item of fewer than five words is one
-    shingle and hits only a text of those words.  Repeated rows each give their hits;
+    wordless texts and items hit nothing.  An item of fewer than five words hits
+    wherever its words stand in a row.  Repeated rows each give their hits;
     equal items are all named; of equally good windows the first counts.  Other columns
     are ignored; an empty table gives no rows.
     """
