@@ -3,8 +3,8 @@
 Lines are lower-cased, trimmed and their runs of digits and of white space made
 equal; a 64-bit hash stands for each.  For every host (source) the documents that
 hold a line are counted.  A line that more than HOST_PERCENT of the host's documents
-hold is removed, where that is no fewer than MIN_DOCS and no more than MAX_DOCS; a
-document of which too little is left is rejected.
+hold, and more than MIN_DOCS of them, is removed; a document of which too little is left
+is rejected.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from reconweave.llm.scratch import Scratch
 from reconweave.llm.words import buffers, counts_in, slices, span_hashes, spans, texts, mix, _SHINGLE
 
-#: A line may be in so large a part of a host's documents, but always in MIN_DOCS and never in more than MAX_DOCS of them.
-HOST_PERCENT, MIN_DOCS, MAX_DOCS = 10, 5, 500
+#: A line may be in so large a part of a host's documents, and always in MIN_DOCS of them: fewer are no sign of a template.
+HOST_PERCENT, MIN_DOCS = 10, 5
 #: Per cent of a document's word characters that must stay when frequent lines go.
 LEFT_PERCENT = 30
 _LINE = np.zeros(256, bool)
@@ -125,7 +125,7 @@ def line_quality(docs: DataFrame, spark: SparkSession) -> DataFrame:
     schema = f"doc_id {kinds['doc_id']}, source {kinds['source']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, chars array<long>"
     f = docs.select("doc_id", "text", F.col("source").cast("string").alias("source")).mapInArrow(_features, schema)
     f = s.write(f.withColumn("host", F.coalesce(F.xxhash64("source"), F.lit(0))).withColumn("row", F.monotonically_increasing_id()), "features")
-    hosts = f.groupBy("host").agg(F.least(F.lit(MAX_DOCS), F.greatest(F.lit(MIN_DOCS), F.floor(F.count(F.lit(1)) * HOST_PERCENT / 100))).alias("most"))
+    hosts = f.groupBy("host").agg(F.greatest(F.lit(MIN_DOCS), F.floor(F.count(F.lit(1)) * HOST_PERCENT / 100)).alias("most"))
     held = f.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MIN_DOCS)
     frequent = held.join(hosts, "host").filter("n > most").select("host", "line")
     each = f.select("row", "host", F.explode(F.arrays_zip("lines", "chars")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.chars").alias("chars"))

@@ -129,7 +129,7 @@ lines AS (
     array_to_string(regexp_extract_all(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[^\x20\x09-\x0D]+'), ' ') AS norm
   FROM (SELECT rid, source, unnest(string_split(t, chr(10))) AS line FROM d) q WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
-hosts AS (SELECT source, least(500, greatest(5, count(*) * 10 // 100)) AS most FROM d GROUP BY source),
+hosts AS (SELECT source, greatest(5, count(*) * 10 // 100) AS most FROM d GROUP BY source),
 frequent AS (SELECT l.source, l.norm FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.norm, h.most HAVING count(DISTINCT rid) > h.most),
 removed AS (SELECT rid, sum(chars) AS n FROM lines l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm GROUP BY rid),
 windows AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2) q),
