@@ -1,8 +1,9 @@
 """Token ids in files of separately compressed documents with a shared dictionary.
 
-A file: MAGIC, the SHA-256 of the zstandard dictionary, one frame for each
-document, then the offset index (doc_id, offset, bytes, tokens of each frame), the
-number of frames and MAGIC again.  Ids are little-endian unsigned 16-bit where the
+A file: MAGIC, the SHA-256 of the zstandard dictionary, the file's range partition and
+the ids that stand before it there, one frame for each document, then the offset index
+(doc_id, offset, bytes, tokens of each frame), the number of frames and MAGIC again.
+So the files alone say what they hold; the manifest only names them.  Ids are little-endian unsigned 16-bit where the
 vocabulary allows, else 32-bit, as the flag behind MAGIC says.  The dictionary is
 trained on the serialized ids of a bounded sample and kept beside the files, so one
 short document is read by two small reads.
@@ -30,9 +31,12 @@ from reconweave.llm.words import slices, texts
 
 MAGIC = b"RWTOKEN1"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("bytes", "<u4"), ("tokens", "<u4")])
-HEADER = len(MAGIC) + 1 + 32
+PLACE = struct.Struct("<IQ")
+HEADER = len(MAGIC) + 1 + 32 + PLACE.size
 #: The dictionary: rows to learn from, and bytes.
 SAMPLE_ROWS, DICTIONARY_BYTES, LEVEL = 3000, 64_000, 3
+#: It learns from whole documents in pieces of so many bytes.
+PIECE_BYTES = 16_384
 #: A file ends when its frames have so many bytes.
 FILE_BYTES = 64_000_000
 
@@ -55,7 +59,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[byte
     column, parts = texts(pa.array(rows, pa.string())), []
     for a, b in slices(column):
         ids, at = encoder.encode(column.slice(a, b - a))
-        parts += [_serial(np.append(x, end_id)[:4096], wide) for x in np.split(ids, at[1:-1])]
+        for x in np.split(ids, at[1:-1]):
+            whole = _serial(np.append(x, end_id), wide)
+            parts += [whole[k : k + PIECE_BYTES] for k in range(0, len(whole), PIECE_BYTES)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes(), wide
     except (zstandard.ZstdError, ValueError):
@@ -65,10 +71,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[byte
 class Writer:
     """Writes documents to files below a folder; a file has its name when it is whole."""
 
-    def __init__(self, root: str, dictionary: bytes, wide: bool):
+    def __init__(self, root: str, dictionary: bytes, wide: bool, part: int = 0):
         import zstandard
 
         self.fs, self.root = _open(root)
+        self.part, self.start = part, 0
         self.wide, self.digest = wide, hashlib.sha256(dictionary).digest()
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         self.compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True, write_dict_id=False).compress
@@ -81,11 +88,12 @@ class Writer:
         if self.out is None:
             self.name = f"{self.root}/ids-{uuid.uuid4().hex}.bin"
             self.out, self.index, self.offset = self.fs.open_output_stream(f"{self.name}.part"), [], HEADER
-            self.out.write(MAGIC + bytes([self.wide]) + self.digest)
+            self.out.write(MAGIC + bytes([self.wide]) + self.digest + PLACE.pack(self.part, self.start))
         frame = self.compress(_serial(ids, self.wide))
         self.out.write(frame)
         self.index.append((doc_id, self.offset, len(frame), len(ids)))
         self.offset += len(frame)
+        self.start += len(ids)
         return self.name.rpartition("/")[2], self.index[-1][1], len(frame)
 
     def close(self) -> None:
@@ -105,8 +113,9 @@ class Reader:
         fs, path = _open(uri)
         self.file = fs.open_input_file(path)
         head = self.file.read_at(HEADER, 0)
-        if head[: len(MAGIC)] != MAGIC or head[len(MAGIC) + 1 :] != hashlib.sha256(dictionary).digest():
+        if head[: len(MAGIC)] != MAGIC or head[len(MAGIC) + 1 : len(MAGIC) + 33] != hashlib.sha256(dictionary).digest():
             raise ValueError(f"{uri}: another format or dictionary")
+        self.part, self.start = PLACE.unpack(head[len(MAGIC) + 33 :])
         self.kind = "<u4" if head[len(MAGIC)] else "<u2"
         self.decompress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).decompress
 
@@ -132,7 +141,8 @@ class Reader:
 def _write(root: str, tokenizer: str, end_id: int, shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, (dictionary, wide) = Encoder.of(tokenizer), shared.value
-        writer, part, start = Writer(root, dictionary, wide), TaskContext.get().partitionId(), 0
+        part, start = TaskContext.get().partitionId(), 0
+        writer = Writer(root, dictionary, wide, part)
         for batch in batches:
             column, docs = texts(batch.column("text")), batch.column("doc_id").to_pylist()
             for a, b in slices(column):
@@ -149,18 +159,30 @@ def _write(root: str, tokenizer: str, end_id: int, shared) -> Callable:
     return run
 
 
+def _places(root: str, shared) -> Callable:
+    """Partition, ids before it there, and ids of each file, by its own header and index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(f, r.part, r.start, int(r.index()["tokens"].sum())) for f in batch.column("file").to_pylist() for r in [Reader(f"{root}/{f}", shared.value[0])]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["file", "part", "before", "tokens"])
+
+    return run
+
+
 def _read(root: str, shared) -> Callable:
+    """The documents of each file in turn: ids before the document, its ids' number and checksum."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dictionary, name, reader = shared.value[0], None, None
         for batch in batches:
-            crc, n = [], []
-            for file, offset, size in zip(batch.column("file").to_pylist(), batch.column("offset").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                if file != name:
-                    name, reader = file, Reader(f"{root}/{file}", dictionary)
-                ids = reader.at(offset, size)
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                reader, rows = Reader(f"{root}/{file}", shared.value[0]), []
+                for doc_id, offset, size, _ in reader.index().tolist():
+                    ids = reader.at(offset, size)
+                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    start += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -192,11 +214,11 @@ def round_trip(docs: DataFrame, spark: SparkSession, tokenizer: str, *, end_id:
     """
     root = Scratch(spark, "token-files").root
     manifest, shared = write_files(docs, spark, tokenizer, root, end_id=end_id)
-    sums = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each range partition
-    before, total = [], 0
-    for r in sorted(sums, key=lambda r: r["part"]):
-        before.append((r["part"], total))
-        total += r["n"]
-    offsets = spark.createDataFrame(before, "part int, before long")
-    rows = manifest.join(F.broadcast(offsets), "part").withColumn("start", F.col("local_start") + F.col("before"))
-    return rows.select("doc_id", "start", "file", "offset", "bytes").mapInArrow(_read(root, shared), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.select("file").distinct()
+    found = files.mapInArrow(_places(root, shared), "file string, part long, before long, tokens long").collect()  # a row for each file
+    starts, total = [], 0
+    for r in sorted(found, key=lambda r: (r["part"], r["before"])):
+        starts.append((r["file"], total))
+        total += r["tokens"]
+    each = spark.createDataFrame(starts, "file string, start long")
+    return each.repartition(max(1, len(starts))).mapInArrow(_read(root, shared), "doc_id long, start long, n_tokens long, ids_crc32 long")

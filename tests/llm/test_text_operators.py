@@ -232,3 +232,47 @@ def test_letters_decide_und(spark):
     assert got[0]["lang_pred"] == "und" and all(got[k]["lang_pred"] in model.languages for k in range(1, 7))
     kept = langid.with_language(table, model, 0.5)
     assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} >= {1, 5, 6} and 0 not in {r["doc_id"] for r in kept.collect()}
+
+
+LONG = "This is a long paragraph of an article that says a number of things about the matter at hand, and goes on for quite a while, as such paragraphs do."
+AROUND = "<html><head><title>t</title></head><body><nav><a href=a>Home</a> <a href=b>News</a></nav>{}<footer>Copyright 2026 Site</footer></body></html>"
+
+
+def test_no_name_and_no_form_empties_a_page():
+    body = f"<p>{LONG}<p>{LONG} Again."
+    wraps = [
+        '<div class="overflow-hidden">{}</div>', '<article class="overflow-hidden">{}</article>', '<div class="side-by-side">{}</div>', '<div class="notice-text">{}</div>', '<div class="story-tags">{}</div>', '<div class="hidden md:block">{}</div>',
+        '<div id=search>{}</div>', "<form action=x>{}</form>", '<div class="sidebar">{}</div>', "<fieldset><div>{}</div></fieldset>",
+    ]
+    for wrap in wraps:
+        assert html_mincut.main_text(AROUND.format(wrap.format(body))) == f"{LONG}\n\n{LONG} Again.", wrap
+    short = ["It rained.", "He left at nine.", "Nobody came.", "She waited for a long time.", "Then the phone rang."]
+    assert html_mincut.main_text(AROUND.format("<div>" + "".join(f"<p>{x}</p>" for x in short) + "</div>")) == "\n\n".join(short)
+
+
+def test_what_is_beside_the_article_goes():
+    many = "".join(f"<p>Great read, I liked it a lot and will come back, number {i}</p>" for i in range(12))
+    page = AROUND.format(f'<article><p>{LONG}</p><p>{LONG}</p></article><div class="comments">{many}</div><aside><p>{LONG[:90]}</p></aside><div class="newsletter">{LONG[:80]}</div>')
+    assert html_mincut.main_text(page) == f"{LONG}\n\n{LONG}"
+
+
+def test_short_benchmark_items_are_found_inside_texts(spark):
+    items = spark.createDataFrame([(1, "what is the capital"), (2, "What is the capital"), (3, "quartz"), (4, "of France today"), (5, "one two three four five")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "He asked: what is the capital of France today?"), (2, "what is the"), (3, "nothing here at all to see"), (4, "Quartz"), (5, "what is the capital"), (6, None), (7, "quartz " * 3)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["start_word"], r["n_words"], r["similarity"]) for r in decontaminate.contaminated(docs, items, spark).collect())
+    assert got == [(1, 1, 2, 4, 1.0), (1, 2, 2, 4, 1.0), (1, 4, 6, 3, 1.0), (4, 3, 0, 1, 1.0), (5, 1, 0, 4, 1.0), (5, 2, 0, 4, 1.0), (7, 3, 0, 1, 1.0)]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items, spark).collect()) == [2, 3, 6]
+
+
+def test_line_limit_is_one_rule_for_small_and_large_hosts(spark):
+    line = "All rights reserved by the owners of this host"
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits of a line count as equal
+    text = lambda i, with_line: " ".join(f"{i}x{k}".translate(letters) for k in range(60)) + (f"\n{line}" if with_line else "")
+    docs = [(i, "three", text(i, True)) for i in range(3)] + [(100 + i, "sixty", text(100 + i, i < 7)) for i in range(60)] + [(1000 + i, "large", text(1000 + i, i < 700)) for i in range(8000)]
+    docs += [(20_000 + i, "wide", text(i, i < 801)) for i in range(8000)]
+    got = {r["doc_id"]: r["removed_chars"] for r in line_quality.line_quality(spark.createDataFrame(docs, "doc_id long, source string, text string"), spark).collect()}
+    size = len(line.replace(" ", ""))
+    assert {got[i] for i in range(3)} == {0}  # fewer than six documents are no template
+    assert {got[100 + i] for i in range(7)} == {size} and got[107] == 0  # 7 of 60
+    assert {got[1000 + i] for i in range(700)} == {0}  # 700 of 8000 are less than a tenth
+    assert {got[20_000 + i] for i in range(801)} == {size}
