@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconweave.plans import reports
-from reconweave.plans.oracles import RUN
-from reconweave.plans.queries import _run, query
-from reconweave.sources import derive
+from reconweave.plans import adjudication, reports, verify
+from reconweave.plans.oracles import _ALIGNED, RUN
+from reconweave.plans.queries import _aligned, _run, query
+from reconweave.sources import derive, sink
 from reconweave.stages import Stages
+from reconweave.streaming import files
 
 TWINS: dict[str, str] = {}
 
@@ -87,3 +88,78 @@ def report_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 TWINS["report_periods"] = f"""
 SELECT client, period, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, row_number() OVER (ORDER BY period DESC, client DESC) AS place FROM ({_ITEMS}) i GROUP BY client, period"""
+
+
+# --- decisions on disagreements --------------------------------------------
+
+
+def _disagreements(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.disagreements(_aligned(spark, sf)).select(F.col("id").cast("string").alias("fingerprint"), "engine_class", "baseline_class", "cause")
+
+
+@query
+def adjudicated_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Disagreements written as workbooks, decided in them, read back, and what then stands."""
+    stages = Stages(spark, "adjudication")
+    found = stages(_disagreements(spark, sf))
+    uri = f"{stages.root}/disagreements"
+    adjudication.export(found, uri)
+    n = F.col("fingerprint").cast("long") % 7
+    edited = sink.read(spark, uri).withColumn("adjudication", F.when(n == 1, "Engine Correct").when(n == 2, "baseline correct").when(n == 3, "both defensible").when(n == 4, "unresolved"))
+    return adjudication.adjudicated(found, adjudication.decisions(edited))
+
+
+TWINS["adjudicated_metrics"] = f"""
+WITH d AS (SELECT *, id % 7 AS n FROM ({_ALIGNED}) a WHERE engine_class <> baseline_class)
+SELECT count(*) FILTER (n BETWEEN 1 AND 4) AS adjudicated, count(*) FILTER (n NOT BETWEEN 1 AND 4) AS unadjudicated, round(count(*) FILTER (n NOT BETWEEN 1 AND 4) / count(*), 6) AS unadjudicated_share,
+  count(*) FILTER (engine_class = 'Matched' AND n NOT IN (1, 3)) AS fp_after, count(*) FILTER (baseline_class = 'Matched' AND n NOT IN (1, 3)) AS fn_after, count(*) FILTER (n = 3) AS both_defensible FROM d"""
+
+
+@query
+def confusion_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and rupees of each pair of classes, with margins."""
+    value = F.abs(F.coalesce("books.invoice_value", "portal.invoice_value"))
+    rows = _run(spark, sf).select(F.coalesce("bid", "pid").alias("id"), value.alias("value"))
+    return adjudication.confusion_values(_aligned(spark, sf).join(rows, "id"))
+
+
+TWINS["confusion_values"] = f"""
+SELECT coalesce(a.baseline_class, 'Total') AS baseline_class, coalesce(a.engine_class, 'Total') AS engine_class, count(*) AS pairs, sum(v.value) AS value
+FROM ({_ALIGNED}) a JOIN (SELECT coalesce(bid, pid) AS id, abs(coalesce(b_invoice_value, p_invoice_value)) AS value FROM ({RUN}) r) v ON a.id = v.id GROUP BY CUBE (a.baseline_class, a.engine_class)"""
+
+# --- arrivals --------------------------------------------------------------
+
+# Orders as uploaded files in three batches; equal content of one client is an upload that was seen.
+_UPLOADS = """
+SELECT 'client ' || CAST(o_custkey % 10 AS STRING) AS client, substr(CAST(o_orderdate AS STRING), 1, 7) AS period, 'slot ' || CAST(o_orderkey % 4 AS STRING) AS slot, 'order-' || CAST(o_orderkey AS STRING) || '.csv' AS file,
+  'content ' || CAST(o_custkey AS STRING) || '/' || CAST(o_orderkey % 5 AS STRING) AS hash, o_orderkey % 3 AS batch FROM orders"""
+
+
+@query
+def file_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """Uploads as a stream over three batches: each file, and the first one of its client with the same content."""
+    stages = Stages(spark, "uploads")
+    uploads = stages(derive.frame(spark, sf, _UPLOADS))
+    kind = ", ".join(f"{c} string" for c in ("client", "period", "slot", "file", "hash"))
+    for n in range(3):
+        uploads.filter(F.col("batch") == n).drop("batch").write.mode("append").parquet(f"{stages.root}/in")
+        seen = files.with_uploads_seen(spark.readStream.schema(kind).parquet(f"{stages.root}/in"))
+        run = seen.writeStream.format("parquet").option("path", f"{stages.root}/seen").option("checkpointLocation", f"{stages.root}/state").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(f"{stages.root}/seen")
+
+
+TWINS["file_arrivals"] = f"""
+SELECT client, period, slot, file, hash, CASE WHEN row_number() OVER w > 1 THEN first_value(period || '/' || slot || '/' || file) OVER w END AS first_file
+FROM ({_UPLOADS}) u WINDOW w AS (PARTITION BY client, hash ORDER BY batch, period, slot, file)"""
+
+
+@query
+def source_availability(spark: SparkSession, sf: str) -> DataFrame:
+    """Which slots each client has files for in each period."""
+    return files.availability(derive.frame(spark, sf, _UPLOADS), [f"slot {k}" for k in range(5)])
+
+
+TWINS["source_availability"] = f"""
+WITH u AS ({_UPLOADS}), p AS (SELECT DISTINCT client, period FROM u), s AS (SELECT 'slot ' || CAST(k AS STRING) AS slot FROM range(5) t(k))
+SELECT p.client, p.period, s.slot, count(DISTINCT file) AS files, count(DISTINCT file) > 0 AS present FROM p CROSS JOIN s LEFT JOIN u ON u.client = p.client AND u.period = p.period AND u.slot = s.slot GROUP BY ALL"""

@@ -30,8 +30,10 @@ def align(engine: DataFrame, baseline: DataFrame, t: Tolerance, stages: Stages,
     done = None
     for tier in (1, 2, 3):
         x, y = (e, b) if done is None else (e.join(done, "eid", "left_anti"), b.join(done, "lid", "left_anti"))
-        if tier == 1:
-            met = x.join(y, (F.col("e_gstin") == F.col("l_gstin")) & (F.col("e_norm") == F.col("l_norm"))).withColumn("rank", F.lit(0.0))
+        if tier == 1:  # all rows of a key rank alike: the k-th meets the k-th
+            keyed = lambda f, k: f.select(f"{k[1]}id", F.col(f"{k[0]}_gstin").alias("_g"), F.col(f"{k[0]}_norm").alias("_n"))
+            done = stages(ordinal(keyed(x, "ee"), keyed(y, "ll"), ["_g", "_n"], "eid", "lid").withColumn("tier", F.lit(1)))
+            continue
         elif tier == 2:
             met = band_join(x.withColumn("_g", F.col("e_gstin")), y.withColumn("_g", F.col("l_gstin")), "e_amount", "l_amount", t, ["_g"]).filter(near).withColumn("rank", F.lit(0.0))
         else:
@@ -45,6 +47,21 @@ def align(engine: DataFrame, baseline: DataFrame, t: Tolerance, stages: Stages,
     return done.unionByName(only_e).unionByName(only_b)
 
 
+def align_tds(engine: DataFrame, baseline: DataFrame, t: Tolerance, stages: Stages, fuzzy: int = 80) -> DataFrame:
+    """eid, lid, tier for rows of withheld tax: PAN and section; PAN and tax within tolerance; name, tax and date.
+
+    engine: eid, pan, section, tax_deducted, deposit_date, deductee_name; baseline: the
+    same with lid.  The second tier asks for no section.  A blank PAN, section or name
+    meets nothing in its tier.
+    """
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+
+    def shape(f: DataFrame, i: str) -> DataFrame:
+        return f.select(i, text(F.upper("pan")).alias("gstin"), text(F.col("section")).alias("norm"), F.col("tax_deducted").alias("amount"), F.col("deposit_date").alias("date"), text(F.col("deductee_name")).alias("party"))
+
+    return align(shape(engine, "eid"), shape(baseline, "lid"), t, stages, fuzzy)
+
+
 def confusion(aligned: DataFrame) -> DataFrame:
     """baseline_class, engine_class, pairs with margins (Total)."""
     out = aligned.cube("baseline_class", "engine_class").agg(F.count(F.lit(1)).alias("pairs"))

@@ -21,17 +21,28 @@ def windowed(events: DataFrame, size: str = "1 day", late: str = "2 days") -> Da
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table read as a stream until its end, and the windows it leaves."""
+    """The events table read as a stream until its end, and the windows it leaves.
+
+    Each batch writes the windows that it changed under its number, so a batch that is
+    tried again writes the same place; the last word on a window counts.  The watermark
+    frees windows and ids that are over.
+    """
     stages = Stages(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     query = (
         windowed(stream)
-        .writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{stages.root}/windows"))
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{stages.root}/windows/batch={n}"))
         .option("checkpointLocation", f"{stages.root}/state")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{stages.root}/windows")
+    return merged(spark.read.parquet(f"{stages.root}/windows"))
+
+
+def merged(windows: DataFrame) -> DataFrame:
+    """day, event_type, events, total of the last batch that changed each window."""
+    last = windows.groupBy("day", "event_type").agg(F.max_by(F.struct("events", "total"), "batch").alias("x"))
+    return last.select("day", "event_type", "x.*")
