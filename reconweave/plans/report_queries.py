@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reconweave.plans import adjudication, reports, verify
 from reconweave.plans.oracles import _ALIGNED, RUN
 from reconweave.plans.queries import _aligned, _run, query
-from reconweave.sources import derive, sink
+from reconweave.sources import derive, paste, sink
 from reconweave.stages import Stages
 from reconweave.streaming import files
 
@@ -163,3 +163,23 @@ def source_availability(spark: SparkSession, sf: str) -> DataFrame:
 TWINS["source_availability"] = f"""
 WITH u AS ({_UPLOADS}), p AS (SELECT DISTINCT client, period FROM u), s AS (SELECT 'slot ' || CAST(k AS STRING) AS slot FROM range(5) t(k))
 SELECT p.client, p.period, s.slot, count(DISTINCT file) AS files, count(DISTINCT file) > 0 AS present FROM p CROSS JOIN s LEFT JOIN u ON u.client = p.client AND u.period = p.period AND u.slot = s.slot GROUP BY ALL"""
+
+
+# --- pasted rows -----------------------------------------------------------
+
+_STYLE = "p_partkey // 100 % 3"
+
+
+@query
+def bulk_paste(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts pasted a hundred at a time with tabs, with commas and quoted names, or with semicolons; some lines lack a name."""
+    p = spark.read.parquet(f"{sf}/part.parquet").withColumn("paste_id", F.expr("p_partkey div 100"))
+    style, key = F.col("paste_id") % 3, F.col("p_partkey").cast("string")
+    line = F.when(style == 0, F.concat_ws("\t", key, "p_name", "p_type")).when(style == 1, F.concat(key, F.lit(', "'), "p_name", F.lit(', ltd", '), "p_type")).otherwise(F.concat_ws(" ; ", key, "p_name", "p_type"))
+    line = F.when(F.col("p_partkey") % 13 == 0, F.concat(key, F.when(style == 0, "\t").when(style == 1, ",").otherwise(";"))).when(F.col("p_partkey") % 17 == 0, F.concat(line, F.lit("\n  \n"))).otherwise(line)
+    pastes = p.groupBy("paste_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))  # a hundred lines each
+    return paste.parse(pastes).select("paste_id", "code", "name", "type")
+
+
+TWINS["bulk_paste"] = f"""
+SELECT p_partkey // 100 AS paste_id, CAST(p_partkey AS VARCHAR) AS code, CASE WHEN {_STYLE} = 1 THEN p_name || ', ltd' ELSE p_name END AS name, p_type AS type FROM part WHERE p_partkey % 13 <> 0"""

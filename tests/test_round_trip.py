@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reconweave.config import Tolerance
 from reconweave.plans import adjudication, reports, verify
-from reconweave.sources import sink
+from reconweave.sources import paste, sink
 from reconweave.stages import Stages
 from reconweave.streaming import files
 
@@ -91,3 +91,11 @@ def test_reports_of_small_runs(spark):
     strip = {(r["period"], r["kind"]): r["result"] for r in reports.integrity(reports.report(items, runs), items, runs).collect()}
     assert strip["2026-01", "GST"] == "PASS" and strip["demo", "TDS"] == "FAIL"  # a record without a class
     assert [r["period"] for r in reports.periods(runs).orderBy("place").collect()] == ["2026-01", "demo"]
+
+
+def test_pasted_rows(spark):
+    pastes = [(1, "A1\tCash\tAsset\n\nA2\tBank, main\n\tno code\nA3\t"), (2, 'B1,"Fees, legal",Expense\r\nB2, Rent '), (3, "C1;Sales;Income\nC2;Other;Income"), (4, None), (5, "  "), (6, "only one field")]
+    got = sorted((r["paste_id"], r["code"], r["name"], r["type"]) for r in paste.parse(spark.createDataFrame(pastes, "paste_id int, text string")).collect())
+    assert got == [(1, "A1", "Cash", "Asset"), (1, "A2", "Bank, main", ""), (2, "B1", "Fees, legal", "Expense"), (2, "B2", "Rent", ""), (3, "C1", "Sales", "Income"), (3, "C2", "Other", "Income")]
+    meta = spark.createDataFrame([("2025-04-01", "2025-05-31", None), (None, "2025-05-31", "2025-01"), (None, None, " 2025-06 "), (None, None, "Apr-25"), (None, None, None)], "a string, b string, c string")
+    assert [r[0] for r in meta.select(paste.period_of_metadata(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["2025-04", "2025-05", "2025-06", "2025-04", None]
