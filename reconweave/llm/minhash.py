@@ -143,7 +143,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         cuts = np.flatnonzero(new).tolist()
         if not cuts or cuts[0]:
             held.append(batch.slice(0, cuts[0] if cuts else batch.num_rows))
-        for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+        for a, b in zip(cuts, [*cuts[1:], batch.num_rows][: len(cuts)], strict=True):  # none in a batch inside one run
             if held:
                 yield pa.Table.from_batches(held)
             held = [batch.slice(a, b - a)]

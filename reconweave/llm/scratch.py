@@ -13,7 +13,10 @@ BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps batches that go to Python small, where the session has Spark's own default for them."""
+    """Keeps batches that go to Python small, where the session has Spark's own default for them.
+
+    For jobs of many stages: a worker of one stage still holds memory when the next begins.
+    """
     rows, size = (f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch"))
     if spark.conf.get(rows, "10000") == "10000":
         spark.conf.set(rows, str(BATCH_ROWS))
@@ -30,7 +33,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        bounded_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not spark.sparkContext.master.startswith("local["):

@@ -132,3 +132,11 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r["node"]: r["component"] for r in components(df, Scratch(spark, "test"), "c").collect()}
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 160)}}
     assert components(df.limit(0), Scratch(spark, "test"), "c").count() == 0
+
+
+def test_runs_of_rows_over_several_batches():
+    rows = [(1, 0)] * 2 + [(2, 0)] * 9 + [(2, 1)] + [(3, 1)] * 4
+    for size in (1, 2, 3, 5, 16):
+        parts = [rows[k : k + size] for k in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in p], pa.int64()), pa.array([r[1] for r in p], pa.int64())], names=["a", "b"]) for p in [*parts[:2], [], *parts[2:]]]
+        assert [t.num_rows for t in minhash.groups(iter(batches), ["a", "b"])] == [2, 9, 1, 4]
