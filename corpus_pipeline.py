@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reconweave.llm import decontaminate, langid, minhash, packing, substring
 from reconweave.llm.queries import WORD_BPE, tokenizer_path
-from reconweave.llm.scratch import Scratch
+from reconweave.llm.scratch import Scratch, bounded_batches
 
 #: A document goes if the language of most of its letters has a smaller part of them.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -18,6 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no letters.  Each row is judged by its own text, so rows
     that repeat go or stay together; an empty table stays empty.
     """
+    bounded_batches(spark)
     return langid.with_language(docs, langid.train(docs.filter(~langid.held_out())), LEAST_LANGUAGE_SCORE)
 
 
@@ -26,6 +27,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Of rows with one id and text one stays; texts without words all stay.
     """
+    bounded_batches(spark)
     return minhash.keep_one(docs, spark)
 
 
@@ -35,11 +37,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A document of which nothing is left goes; null and empty texts stay.  Rows that
     share an id are each cut by their own text.
     """
+    bounded_batches(spark)
     return substring.without_repeats(docs, spark)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go, each row by its own text; null and empty texts stay."""
+    bounded_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark)
 
 
@@ -49,6 +53,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A null or empty text is a piece of the end token alone; repeated rows are
     documents of their own; an empty table gives no pieces.
     """
+    bounded_batches(spark)
     return packing.pack_documents(docs, spark, tokenizer_path(WORD_BPE))
 
 
