@@ -13,10 +13,6 @@ from reconweave.operators.blocking import band_join
 from reconweave.stages import Stages
 
 
-#: Characters of a key that pairs are looked up by; shorter keys meet all of their GSTIN.
-PREFIX = 4
-
-
 def prepare(frame: DataFrame) -> DataFrame:
     """nid, gstin, note_reference, note_key, note_kind, note_date and absolute money.
 
@@ -33,22 +29,33 @@ def gstins_agree(a: Column, b: Column) -> Column:
     return F.when(has_gstin(a) & has_gstin(b), a == b).otherwise(has_gstin(a) | has_gstin(b))
 
 
+def _parts(rows: DataFrame, side: str, ident: str, lengths: list[int], whole: bool) -> DataFrame:
+    """Every distinct part of some lengths of each row's key, with its GSTIN and id; whole: the key itself is one."""
+    key = F.col(f"{side}_note_key")
+    of_length = lambda n: F.when(F.length(key) > n - whole, F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda i: F.substring(key, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.flatten(F.array(*map(of_length, lengths))))
+    return rows.select(F.col(f"{side}_gstin").alias("_g"), F.col(ident), F.explode(every).alias("_part"))
+
+
 def _containing(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs of one GSTIN of which one key begins at some place of the other: each key meets the suffixes that begin with it.
+    """Pairs of one GSTIN of which one key is inside the other; equal keys are among them.
 
-    Every key is cut to its first PREFIX characters; a key inside another one is the
-    beginning of a suffix of it, so the two share a (GSTIN, beginning) at least once.
+    The parts of either side's keys, of the lengths that whole keys of the other side
+    have, meet those whole keys: nothing meets but what contains, whatever numbering
+    scheme a supplier has.  Only ids meet; the rows are joined back.
     """
-    starts = lambda key: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.substring(key, i, F.lit(PREFIX))))
-    b_cut, p_cut = F.substring("b_note_key", 1, PREFIX), F.substring("p_note_key", 1, PREFIX)
-    short = F.length("b_note_key") < PREFIX
-    long_b = x.filter(~short).select("*", F.explode(starts(F.col("b_note_key"))).alias("_at"))
-    long_p = y.filter(F.length("p_note_key") >= PREFIX).select("*", F.explode(starts(F.col("p_note_key"))).alias("_at"))
-    mine, theirs = x.filter(~short).withColumn("_at", b_cut), y.filter(F.length("p_note_key") >= PREFIX).withColumn("_at", p_cut)
-    key = lambda f, c: f.withColumn("_g", F.col(c))
-    met = key(long_b, "b_gstin").join(key(theirs, "p_gstin"), ["_g", "_at"]).unionByName(key(mine, "b_gstin").join(key(long_p, "p_gstin"), ["_g", "_at"]))
-    few = key(x.filter(short), "b_gstin").join(key(y, "p_gstin"), "_g").unionByName(key(x.filter(~short), "b_gstin").join(key(y.filter(F.length("p_note_key") < PREFIX), "p_gstin"), "_g"))
-    return met.drop("_g", "_at").unionByName(few.drop("_g")).distinct()
+
+    def met(outer: DataFrame, inner: DataFrame, sides: str, ids: tuple[str, str]) -> DataFrame:
+        whole = inner.filter(F.col(f"{sides[1]}_note_key") != "").select(F.col(f"{sides[1]}_gstin").alias("_g"), F.col(f"{sides[1]}_note_key").alias("_part"), ids[1])
+        lengths = sorted(r[0] for r in whole.select(F.length("_part")).distinct().collect())  # a row for each length of a key
+        if not lengths:
+            return whole.select(F.lit(None).cast("long").alias(ids[0]), ids[1]).limit(0)
+        return _parts(outer, sides[0], ids[0], lengths, sides == "bp").join(whole, ["_g", "_part"]).select(*ids)
+
+    known = lambda f, side: f.filter(has_gstin(F.col(f"{side}_gstin")))
+    b, p = known(x, "b"), known(y, "p")
+    pairs = met(b, p, "bp", ("bid", "pid")).unionByName(met(p, b, "pb", ("pid", "bid")))
+    return x.join(pairs, "bid").join(y, "pid")
 
 
 def match(books: DataFrame, portal: DataFrame, c: Notes, t: Tolerance, stages: Stages) -> DataFrame:

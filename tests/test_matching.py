@@ -163,3 +163,9 @@ def test_containment_meets_every_pair_of_one_gstin(spark):
     met = [(r["bid"], r["pid"]) for r in notes._containing(b, p).collect()]
     want = {(i, j) for i, x in enumerate(keys) for j, y in enumerate(reversed(keys)) if x in y or y in x}
     assert want <= set(met) and len(met) == len(set(met))
+
+
+def test_containment_of_one_numbering_scheme(spark):
+    b = spark.createDataFrame([(i, "27AAAAA0000A1Z5", f"SRICN2025{i:04d}") for i in range(400)], "bid long, b_gstin string, b_note_key string")
+    p = spark.createDataFrame([(i, "27AAAAA0000A1Z5", f"SRICNX2025{i:04d}") for i in range(400)] + [(1000, "27AAAAA0000A1Z5", "20250007"), (1001, "", "SRICN20250007")], "pid long, p_gstin string, p_note_key string")
+    assert [(r["bid"], r["pid"]) for r in notes._containing(b, p).collect()] == [(7, 1000)]
