@@ -41,3 +41,17 @@ def test_stages_on_odd_rows(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, before, sf)
     assert {r["doc_id"] for r in packed.collect()} == ids
     assert corpus_pipeline.STAGES[-1][1](spark, before.limit(0), sf).count() == 0
+
+
+def test_run_over_a_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = corpus_pipeline.run(spark, sf).collect()
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    got = {r["doc_id"] for r in rows}
+    assert got <= ids and len(got) >= 0.6 * len(ids)
+    sums, at = {}, {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
+        assert r["start"] == at.get(r["doc_id"], 0) and 0 < r["length"] <= 4096
+        at[r["doc_id"]] = r["start"] + r["length"]
+        sums[r["sequence_id"]] = sums.get(r["sequence_id"], 0) + r["length"]
+    assert max(sums.values()) <= 4096 and len(sums) >= sum(sums.values()) / 4096
