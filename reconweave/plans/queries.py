@@ -595,12 +595,6 @@ def slot_detection(spark: SparkSession, sf: str) -> DataFrame:
     return detect.slots(files)
 
 
-@query
-def column_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    """Best headers of each canonical field by name similarity, for the orders table."""
-    return detect.column_candidates(spark, spark.read.parquet(f"{sf}/orders.parquet").columns + ["Supplier GSTIN", "Bill No", "Taxable Value"])
-
-
 @query
 def declarative_sheet(spark: SparkSession, sf: str) -> DataFrame:
     """Books written as text, parsed back by rules, by supplier."""
