@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from reconweave.llm import kd_shards, packing, substring, token_counts, token_files
+from reconweave.llm import bpe, kd_shards, packing, substring, token_counts, token_files
 from reconweave.llm.bpe import Encoder
 from reconweave.llm.queries import BYTE_BPE, WORD_BPE, tokenizer_path
 from reconweave.llm.scratch import Scratch
@@ -31,6 +31,43 @@ def test_ids_equal_the_library(name):
             assert ids[at[i] : at[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+class Asked:
+    """A tokenizer that counts how often it is asked for a word."""
+
+    def __init__(self, tokenizer, word):
+        self.tokenizer, self.word, self.times = tokenizer, word, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.times += sum(t.count(self.word) for t in texts)
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_a_full_cache_keeps_common_units(name, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_UNITS", 300)
+    encoder = Encoder(tokenizer_path(name))
+    library, asked = encoder.tokenizer, Asked(encoder.tokenizer, "commonword")
+    encoder.tokenizer = asked
+    for batch in range(20):
+        texts = [f"a commonword (or q{batch}x{k}z) it's <|endoftext|" for k in range(60)] + [f"more <|endoftext|> {batch} commonness"]
+        ids, at = encoder.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(encoder.keys) <= 300
+    assert asked.times == 1
+
+
+def test_units_joined_for_the_library_keep_their_ids():
+    units = ["", " a", "'s", "<|endoftext|", "|>", "\n\n", "日本", *(f" x{k}" for k in range(600))]
+    for name in (BYTE_BPE, WORD_BPE):
+        encoder = Encoder(tokenizer_path(name))
+        assert encoder.part is not None
+        for got, want in zip(encoder._units(units), encoder.fresh(units), strict=True):
+            assert got.tolist() == want.tolist()
+        encoder.part = None
+        assert encoder._units(units)[0].tolist() == encoder.fresh(units)[0].tolist()
+
+
 def test_counts(spark, docs):
     library = Tokenizer.from_file(tokenizer_path(BYTE_BPE))
     got = token_counts.token_counts(docs, spark, tokenizer_path(BYTE_BPE)).collect()
