@@ -3,6 +3,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reconweave.config import Guards
@@ -89,3 +90,12 @@ def test_empty_and_unknown(spark):
     with pytest.raises(ValueError):
         portal.export(g, "bank")
     assert formats.Format.from_json(formats.GSTR2B.as_json()) == formats.GSTR2B
+
+
+def test_a_union_of_frames_dealt_by_file_packs_whole_files(spark):
+    ids = spark.range(0, 60_000, 1, 4).select(F.concat(F.lit("b"), F.col("id") % 40, F.lit(".xlsx")).alias("file"), "id", F.sha2(F.col("id").cast("string"), 256).alias("text"))  # too wide for one partition
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("id"))
+    data = ids.select("file", F.lit("Rows").alias("sheet"), nth.cast("long").alias("row_no"), F.array("text").alias("cells"))
+    head = ids.groupBy("file").agg(F.max("id").alias("m")).select("file", F.lit("Rows").alias("sheet"), F.lit(0).cast("long").alias("row_no"), F.array(F.concat(F.lit("to "), "m")).alias("cells"))
+    packed = workbooks.pack(data.unionByName(head)).select("path").collect()
+    assert len(packed) == len(set(packed)) == 40
