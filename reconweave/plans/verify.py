@@ -37,7 +37,7 @@ def align(engine: DataFrame, baseline: DataFrame, t: Tolerance, stages: Stages,
         elif tier == 2:
             met = band_join(x.withColumn("_g", F.col("e_gstin")), y.withColumn("_g", F.col("l_gstin")), "e_amount", "l_amount", t, ["_g"]).filter(near).withColumn("rank", F.lit(0.0))
         else:
-            met = stages(band_join(x, y, "e_amount", "l_amount", t).filter(near & in_window(F.col("e_date"), F.col("l_date"), t.days)))
+            met = band_join(x, y, "e_amount", "l_amount", t, dates=("e_date", "l_date")).filter(near & in_window(F.col("e_date"), F.col("l_date"), t.days))
             met = met.withColumn("rank", token_sort_ratio("e_party", "l_party")).filter(F.col("rank") >= fuzzy)
         edges = stages(met.select("eid", "lid", "rank"))
         got = serial(edges, stages, F.col("rank"), "eid", "lid").select("eid", "lid", F.lit(tier).alias("tier"))

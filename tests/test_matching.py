@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from reconweave.config import Config, Tolerance
-from reconweave.operators import blocking, gst, notes, tds
+from reconweave.functions import similarity
+from reconweave.functions.predicates import in_window, within
+from reconweave.operators import blocking, gst, notes, other, tds
 from reconweave.operators.assign import ambiguous, serial
 from reconweave.plans import verify
 from reconweave.sources import derive
@@ -169,3 +171,50 @@ def test_containment_of_one_numbering_scheme(spark):
     b = spark.createDataFrame([(i, "27AAAAA0000A1Z5", f"SRICN2025{i:04d}") for i in range(400)], "bid long, b_gstin string, b_note_key string")
     p = spark.createDataFrame([(i, "27AAAAA0000A1Z5", f"SRICNX2025{i:04d}") for i in range(400)] + [(1000, "27AAAAA0000A1Z5", "20250007"), (1001, "", "SRICN20250007")], "pid long, p_gstin string, p_note_key string")
     assert [(r["bid"], r["pid"]) for r in notes._containing(b, p).collect()] == [(7, 1000)]
+
+
+def test_band_join_by_dates_misses_no_pair(spark):
+    rnd = random.Random(5)
+    day = lambda: None if rnd.random() < 0.2 else dt.date(2025, 1, 1) + dt.timedelta(rnd.randrange(40))
+    left, right = ([(i, Decimal(rnd.randrange(90_000, 110_000)) / 100, day()) for i in range(150)] for _ in "lr")
+    a, b = spark.createDataFrame(left, "bid long, x decimal(18,2), d date"), spark.createDataFrame(right, "pid long, y decimal(18,2), e date")
+    t = Tolerance(days=5)
+    got = blocking.band_join(a, b, "x", "y", t, dates=("d", "e")).filter(within(F.col("x"), F.col("y"), t) & in_window(F.col("d"), F.col("e"), 5)).select("bid", "pid").collect()
+    near = lambda x, y: abs(x - y) <= 10 or abs(x - y) * 100 <= max(x, y)
+    want = [(i, j) for i, x, d in left for j, y, e in right if near(x, y) and (d is None or e is None or abs((d - e).days) <= 5)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    # rows of dates that are far apart do not meet at all
+    far = blocking.band_join(a.filter("d < '2025-01-05'"), b.filter("e > '2025-02-01'"), "x", "y", t, dates=("d", "e"))
+    assert far.isEmpty()
+
+
+def test_serial_reads_only_what_is_open(spark):
+    class Counted(Stages):
+        rows = 0
+
+        def __call__(self, df):
+            out = super().__call__(df)
+            self.rows += out.count()
+            return out
+
+    edges = [(i, j, float((i * 7 + j * 13) % 5)) for i in range(40) for j in range(40)]
+    stages = Counted(spark, "t")
+    got = serial(spark.createDataFrame(edges, "bid long, pid long, points double"), stages, F.col("points")).collect()
+    assert sorted((r["bid"], r["pid"]) for r in got) == sorted((i, j) for i, (j, _) in loop(edges).items())
+    assert stages.rows < 8000  # 9340 where settled rows are read again in every round
+
+
+def test_batch_similarity_equals_the_plain_one():
+    rnd = random.Random(2)
+    word = lambda n: "".join(rnd.choice("ab é0漢") for _ in range(rnd.randrange(n)))
+    a, b = ([word(n) for n in (3, 12, 63, 64, 65, 200) for _ in range(60)] + ["", "x\0", "same"] for _ in "ab")
+    assert list(similarity.indel_ratios(a, b)) == [similarity.indel_ratio(x, y) for x, y in zip(a, b, strict=True)]
+    assert list(similarity.indel_ratios([], [])) == []
+
+
+def test_other_containment_meets_only_what_contains(spark):
+    rows = lambda i, refs: spark.createDataFrame([(k, r, Decimal(a)) for k, (r, a) in enumerate(refs)], f"{i} long, {i[0]}_reference string, {i[0]}_amount decimal(18,2)")
+    b = rows("bid", [("REF1", "100"), ("REF12", "100"), ("", "100"), (None, "100"), ("AB", "100"), ("REF12", "9000"), (" XREF7Y ", "105")])
+    p = rows("pid", [("NEFT/REF12/X", "101"), ("REF1", "100"), ("none", "100"), ("ABAB", "100"), ("REF7", "100"), ("ZZ", "100")])
+    got = other._containing(b, p, Tolerance())
+    assert sorted((r["bid"], r["pid"]) for r in got.select("bid", "pid").collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (4, 3), (6, 4)]
