@@ -479,7 +479,7 @@ def _aligned(spark: SparkSession, sf: str) -> DataFrame:
     run = _run(spark, sf)
     i = F.coalesce("bid", "pid")
     baseline = F.when(i % 20 == 1, "Matched").when(i % 20 == 2, "Amount Difference").when(i % 20 == 3, "Not in Portal").otherwise(F.col("classification"))
-    return run.select(i.alias("id"), F.col("classification").alias("engine_class"), baseline.alias("baseline_class"), "confidence_score", F.concat(F.lit("pass "), F.coalesce("difference_type", F.lit("duplicate"))).alias("reason"))
+    return run.select(i.alias("id"), F.col("classification").alias("engine_class"), baseline.alias("baseline_class"), F.col("difference_type").alias("engine_type"), "confidence_score", F.concat(F.lit("pass "), F.coalesce("difference_type", F.lit("duplicate"))).alias("reason"))
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reconweave.functions import display
 from reconweave.operators import review
+from reconweave.plans import review_queries
 
 
 def test_lists_and_their_counts(spark):
@@ -56,3 +57,8 @@ def test_headline_ties(spark):
     assert not review.headline_integrity(rows, spark.createDataFrame([(15,)], "at_stake int")).first()["ties"]
     empty = review.headline_integrity(rows.limit(0), spark.createDataFrame([(None,)], "at_stake int")).first()
     assert empty["recount"] == 0 and empty["ties"]
+
+
+def test_type_accuracy_runs_once(spark):
+    plan = review_queries.type_accuracy(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
