@@ -143,10 +143,9 @@ def file_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     kind = ", ".join(f"{c} string" for c in ("client", "period", "slot", "file", "hash"))
     for n in range(3):
         uploads.filter(F.col("batch") == n).drop("batch").write.mode("append").parquet(f"{stages.root}/in")
-        seen = files.with_uploads_seen(spark.readStream.schema(kind).parquet(f"{stages.root}/in"))
-        run = seen.writeStream.format("parquet").option("path", f"{stages.root}/seen").option("checkpointLocation", f"{stages.root}/state").outputMode("append").trigger(availableNow=True).start()
-        run.awaitTermination()
-    return spark.read.parquet(f"{stages.root}/seen")
+        stream = spark.readStream.schema(kind).parquet(f"{stages.root}/in").writeStream.foreachBatch(lambda batch, k: files.note_uploads(batch, k, stages.root))
+        stream.option("checkpointLocation", f"{stages.root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{stages.root}/seen").drop("batch")
 
 
 TWINS["file_arrivals"] = f"""

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -45,6 +45,28 @@ def with_uploads_seen(files: DataFrame) -> DataFrame:
     return files.groupBy("client", "hash").applyInPandasWithState(_remembered, _OUT, "first string", "append", GroupStateTimeout.NoTimeout)
 
 
+def note_uploads(batch: DataFrame, n: int, root: str) -> None:
+    """Batch n of a stream of files with first_file, as with_uploads_seen() gives it, below root/seen; firsts that are new below root/first.
+
+    For many files of one content, or many contents: rows meet the firsts of earlier
+    batches in a join.  A batch that is tried again reads only those and writes the same place.
+    """
+    spark, text = batch.sparkSession, lambda c: F.coalesce(F.col(c), F.lit(""))
+    at = F.concat_ws("/", text("period"), text("slot"), text("file"))
+    own = Window.partitionBy("client", "hash").orderBy(*(F.asc_nulls_last(c) for c in ("period", "slot", "file")))
+    rows = batch.select("client", "period", "slot", "file", "hash").withColumns({"_at": at, "_n": F.row_number().over(own), "_own": F.first(at).over(own)})
+    old = [f"{root}/first/batch={k}" for k in range(n)]
+    if old:
+        known = spark.read.schema("_client string, _hash string, _first string").parquet(*old)
+        rows = rows.join(known, F.col("client").eqNullSafe(F.col("_client")) & F.col("hash").eqNullSafe(F.col("_hash")), "left").drop("_client", "_hash")
+    else:
+        rows = rows.withColumn("_first", F.lit(None).cast("string"))
+    out = rows.withColumn("first_file", F.coalesce("_first", F.when(F.col("_n") > 1, F.col("_own"))))
+    out.drop("_at", "_n", "_own", "_first").write.mode("overwrite").parquet(f"{root}/seen/batch={n}")
+    new = rows.filter("_n = 1 and _first is null").select(F.col("client").alias("_client"), F.col("hash").alias("_hash"), F.col("_at").alias("_first"))
+    new.write.mode("overwrite").parquet(f"{root}/first/batch={n}")
+
+
 def availability(files: DataFrame, slots: list[str]) -> DataFrame:
     """client, period, slot, files, present: what each client and period has of each slot."""
     have = files.groupBy("client", "period", "slot").agg(F.count_distinct("file").alias("files"))

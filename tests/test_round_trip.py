@@ -99,3 +99,14 @@ def test_pasted_rows(spark):
     assert got == [(1, "A1", "Cash", "Asset"), (1, "A2", "Bank, main", ""), (2, "B1", "Fees, legal", "Expense"), (2, "B2", "Rent", ""), (3, "C1", "Sales", "Income"), (3, "C2", "Other", "Income")]
     meta = spark.createDataFrame([("2025-04-01", "2025-05-31", None), (None, "2025-05-31", "2025-01"), (None, None, " 2025-06 "), (None, None, "Apr-25"), (None, None, None)], "a string, b string, c string")
     assert [r[0] for r in meta.select(paste.period_of_metadata(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["2025-04", "2025-05", "2025-06", "2025-04", None]
+
+
+def test_uploads_of_one_large_content(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    batch = lambda lo, hi: spark.range(lo, hi).select(F.lit(None).cast("string").alias("client"), F.lit("2025").alias("period"), F.lit("s").alias("slot"), F.format_string("%06d", hi - 1 - F.col("id")).alias("file"), F.lit("h").alias("hash"))
+    for n, (lo, hi) in enumerate(((0, 25_000), (25_000, 25_003))):
+        for _ in range(2):  # a batch that is tried again
+            files.note_uploads(batch(lo, hi), n, root)
+    got = spark.read.parquet(f"{root}/seen").groupBy("batch", "first_file").count().collect()
+    assert {tuple(r) for r in got} == {(0, None, 1), (0, "2025/s/000000", 24_999), (1, "2025/s/000000", 3)}
+    assert spark.read.parquet(f"{root}/first").count() == 1
