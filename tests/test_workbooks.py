@@ -1,14 +1,17 @@
 """Workbooks packed, read and parsed by formats; portal exports and their control totals."""
 
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reconweave.config import Guards
+from reconweave.plans import source_queries
 from reconweave.sources import formats, portal, workbooks
 from reconweave.sources.grids import flat_labels
+from reconweave.stages import Stages
 
 PARENT = ["GSTIN of supplier", "Trade/Legal name", "Invoice Details", "", "", "", "Supply Attract Reverse Charge", "Taxable Value (₹)", "Tax Amount", "", "", ""]
 CHILD = ["", "", "Invoice number", "Invoice type", "Invoice Date", "Invoice Value(₹)", "", "", "Integrated Tax(₹)", "Central Tax(₹)", "State/UT Tax(₹)", "Cess(₹)"]
@@ -99,3 +102,12 @@ def test_a_union_of_frames_dealt_by_file_packs_whole_files(spark):
     head = ids.groupBy("file").agg(F.max("id").alias("m")).select("file", F.lit("Rows").alias("sheet"), F.lit(0).cast("long").alias("row_no"), F.array(F.concat(F.lit("to "), "m")).alias("cells"))
     packed = workbooks.pack(data.unionByName(head)).select("path").collect()
     assert len(packed) == len(set(packed)) == 40
+
+
+def test_a_round_trip_leaves_only_the_cells(spark):
+    stages = Stages(spark, "t")
+    got = source_queries._written(stages(grid(spark, book())), stages)
+    rows = got.count()
+    assert sorted(p.name for p in Path(stages.root.removeprefix("file://")).iterdir()) == ["1", "3"]
+    stages.drop(1)
+    assert got.count() == rows > 20
